@@ -5,11 +5,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siftlens.llm.decontaminate import op4_decontaminate
+from siftlens.llm.packing import op8_pack
 from siftlens.llm.secrets import op5_secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_decontaminate": op4_decontaminate, "op5_secrets": op5_secrets}
+    return {"op4_decontaminate": op4_decontaminate, "op5_secrets": op5_secrets, "op8_pack": op8_pack}
 
 
 def oracle_sql() -> dict[str, str]:
