@@ -5,13 +5,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siftlens.llm.decontaminate import op4_decontaminate
+from siftlens.llm.langid import op2_langid
 from siftlens.llm.neardup import op10_neardup
 from siftlens.llm.packing import op8_pack
 from siftlens.llm.secrets import op5_secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_decontaminate": op4_decontaminate, "op5_secrets": op5_secrets, "op8_pack": op8_pack, "op10_neardup": op10_neardup}
+    return {
+        "op2_langid": op2_langid,
+        "op4_decontaminate": op4_decontaminate,
+        "op5_secrets": op5_secrets,
+        "op8_pack": op8_pack,
+        "op10_neardup": op10_neardup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
