@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from siftlens.llm.common import stored, table
 from siftlens.llm.tokens import crc_of, encoder, vocabulary_path
 
-CAPACITY, END, SALTS = 1024, 2, 256
+CAPACITY, END, SALTS = 1024, 2, 64
 VOCABULARY = "byte_bpe_50k.json"
 
 

@@ -12,7 +12,7 @@ from array import array
 import numpy as np
 
 #: Stretches in each of a worker's two generations of memory, and the longest remembered, in characters.
-REMEMBERED, LONGEST = 500_000, 48
+REMEMBERED, LONGEST = 700_000, 48
 
 #: A space between white space: where the pieces depend on the whole run.
 _RUN = re.compile(r" (?<=\s )\s")
@@ -40,24 +40,33 @@ class Encoder:
         self.older: dict[str, bytes] = {}
 
     def _stretches(self, text: str) -> list[str]:
+        """Where spaces count, a stretch stands for itself with the space before it; a first one, which has none, is
+        told by a space in front."""
         if not self.spaces:
             return [x for x in _BARE.split(text) if x]
         if _RUN.search(text):
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+            return [" " + text]
+        out = text.split(" ")
+        out[0] = " " + out[0]
+        return out
+
+    def _spoken(self, stretch: str) -> str:
+        return stretch if not self.spaces else stretch[1:] if stretch[:1] == " " else " " + stretch
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of stretches that are not known; those of a usual length are remembered."""
+        """The ids of stretches from the library; those of a usual length are remembered."""
         found: dict[str, bytes] = {}
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
-            for x, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            for x, e in zip(some, self.library.encode_batch_fast(list(map(self._spoken, some)), add_special_tokens=False), strict=True):
                 found[x] = array("I", e.ids).tobytes()
+        self._remember(found)
+        return found
+
+    def _remember(self, found: dict[str, bytes]) -> None:
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
         self.known.update((x, ids) for x, ids in found.items() if len(x) <= LONGEST)
-        return found
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers; null counts as empty."""
@@ -66,9 +75,8 @@ class Encoder:
         absent = {x for p, found in zip(parts, looked, strict=True) if None in found for x, ids in zip(p, found, strict=True) if ids is None}
         if absent:
             here = {x: ids for x in absent if (ids := self.older.get(x)) is not None}
-            new = [x for x in absent if x not in here]
-            self.known.update(here)
-            here |= self._learn(new)
+            self._remember(here)
+            here |= self._learn([x for x in absent if x not in here])
             for p, found in zip(parts, looked, strict=True):
                 if None in found:
                     found[:] = [here[x] if ids is None else ids for x, ids in zip(p, found, strict=True)]
