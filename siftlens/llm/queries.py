@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siftlens.llm.decontaminate import op4_decontaminate
 from siftlens.llm.langid import op2_langid
+from siftlens.llm.licenses import op6_licenses
 from siftlens.llm.neardup import op10_neardup
 from siftlens.llm.packing import op8_pack
 from siftlens.llm.secrets import op5_secrets
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_langid": op2_langid,
         "op4_decontaminate": op4_decontaminate,
         "op5_secrets": op5_secrets,
+        "op6_licenses": op6_licenses,
         "op8_pack": op8_pack,
         "op10_neardup": op10_neardup,
     }
