@@ -203,6 +203,18 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, least: int) ->
     return both.mapInArrow(_confirm(shingle, least), "a long, b long")
 
 
+def roots(parents: DataFrame) -> DataFrame:
+    """node and label of all nodes of a forest (node, parent), where a root is its own parent: pointer jumping, which
+    halves the depth each time."""
+    labels = parents.select("node", F.col("parent").alias("label"))
+    while True:
+        up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
+        jumped = stored(labels.join(up, "label").select("node", F.col("above").alias("label"), (F.col("above") != F.col("label")).alias("moved")), "roots")
+        labels = jumped.select("node", "label")
+        if not jumped.where("moved").limit(1).count():
+            return labels
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and label (the smallest node reachable) of all nodes that links (a, b) name: each takes the smallest label
     among its neighbours, then the label of its label, until nothing changes."""
@@ -232,32 +244,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
     # A node: all documents with the same set. Its smallest id stands for it.
     reps = stored(members.groupBy("node").agg(F.min("id").alias("id")), "reps")
-    nodes = members.join(reps, ["id", "node"]).dropDuplicates(["node"]) if _repeats(members) else members.join(reps, ["id", "node"])
-    nodes = stored(nodes.select("id", "node", "n", "sketch", "bands"), "nodes")
-    links, labels = _links(nodes, rows, shingle, least)
-    # The smallest id of each component, for the nodes that have links.
-    named = reps.join(labels, "node")
-    least_id = stored(named.groupBy("label").agg(F.min("id").alias("component_id")), "least")
-    of = stored(reps.join(labels, "node", "left").join(least_id, "label", "left").select("node", F.coalesce("component_id", "id").alias("component_id")), "of")
+    repeats = signed.groupBy("id").count().where("count > 1").limit(1).count() > 0
+    nodes = members.join(reps, ["id", "node"]).select("id", "node", "n", "sketch", "bands")
+    nodes = stored(nodes.dropDuplicates(["node"]) if repeats else nodes, "nodes")
+    named = reps.join(_labels(nodes, rows, repeats, shingle, least), "node", "left")
+    named = stored(named.select("node", "id", F.coalesce("label", "node").alias("label")), "labelled")
+    # The smallest id of each component.
+    first = named.groupBy("label").agg(F.min("id").alias("component_id"))
+    of = stored(named.join(first, "label").select("node", "component_id"), "of")
     out = signed.select("id", "n", "node").join(of, "node", "left")
     own = (F.col("n") == 0) | F.col("id").isNull()
     component = F.when(own, F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _repeats(members: DataFrame) -> bool:
-    return members.groupBy("id").count().where("count > 1").limit(1).count() > 0
-
-
-def _links(nodes: DataFrame, rows: DataFrame, shingle: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """All links found between nodes, and the labels of their components."""
+def _labels(nodes: DataFrame, rows: DataFrame, repeats: bool, shingle: int, least: int) -> DataFrame:
+    """node and label of all nodes that meet another in a bucket: nodes of one component have the same label."""
     slim = nodes.select("node", "n", "sketch")
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("first")).where("c > 1").select("key", "first")
     hits = stored(buckets.join(stored(shared, "shared"), "key"), "hits")
     # The texts of all nodes that meet another. Where ids repeat, a text's node is told by its digest.
     met = stored(nodes.select("id", "node").join(hits.select("node").distinct(), "node", "left_semi"), "met")
-    if _repeats(rows):
+    if repeats:
         again = rows.select("text").mapInArrow(_digested(shingle), "text string, n long, d1 long, d2 long")
         texts = again.withColumn("node", F.xxhash64("n", "d1", "d2")).join(met, "node", "left_semi").dropDuplicates(["node"])
     else:
@@ -268,18 +277,25 @@ def _links(nodes: DataFrame, rows: DataFrame, shingle: int, least: int) -> tuple
     near = stars.join(side("b"), "b").join(side("a"), "a").where(_near(least))
     best = near.groupBy("b").agg(F.min_by("a", F.struct(_different("a_sketch", "b_sketch"), F.col("a"))).alias("a")).select("a", "b")
     links = stored(_confirmed(stored(best, "best"), texts, shingle, least), "links")
-    labels = components(links)
+    # Each member has one link at most, to a smaller node: a forest.
+    parents = hits.select("node").distinct().join(links.select(F.col("b").alias("node"), "a"), "node", "left")
+    labels = roots(stored(parents.select("node", F.coalesce("a", "node").alias("parent")), "parents"))
     # What still meets in a bucket across components.
-    named = stored(hits.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "named")
+    named = stored(hits.select("key", "node").join(labels, "node"), "named")
     mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
     open_ = stored(named.join(stored(mixed, "mixed"), "key", "left_semi").join(slim, "node"), "open")
     one = lambda x: open_.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "label", "n", "sketch")))
     across = one("a").join(one("b"), "key").where((F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & _near(least))
-    pairs = stored(across.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), "pairs")
+    pairs = across.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.first("a_label").alias("a_label"), F.first("b_label").alias("b_label"))
+    pairs = stored(pairs, "pairs")
     if not pairs.limit(1).count():
-        return links, labels
-    links = stored(links.union(_confirmed(pairs, texts, shingle, least)), "links")
-    return links, components(links)
+        return labels
+    more = pairs.join(_confirmed(pairs.select("a", "b"), texts, shingle, least), ["a", "b"])
+    more = stored(more.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct(), "more")
+    if not more.limit(1).count():
+        return labels
+    joined = components(more).select(F.col("node").alias("label"), F.col("label").alias("least"))
+    return labels.join(joined, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
