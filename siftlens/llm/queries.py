@@ -9,6 +9,7 @@ from siftlens.llm.langid import op2_langid
 from siftlens.llm.licenses import op6_licenses
 from siftlens.llm.neardup import op10_neardup
 from siftlens.llm.packing import op8_pack
+from siftlens.llm.quality import op3_quality
 from siftlens.llm.secrets import op5_secrets
 from siftlens.llm.topk import op1_topk
 
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk": op1_topk,
         "op2_langid": op2_langid,
+        "op3_quality": op3_quality,
         "op4_decontaminate": op4_decontaminate,
         "op5_secrets": op5_secrets,
         "op6_licenses": op6_licenses,
