@@ -4,6 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftlens.llm.counting import op9_token_counts
 from siftlens.llm.decontaminate import op4_decontaminate
 from siftlens.llm.langid import op2_langid
 from siftlens.llm.licenses import op6_licenses
@@ -11,6 +12,7 @@ from siftlens.llm.neardup import op10_neardup
 from siftlens.llm.packing import op8_pack
 from siftlens.llm.quality import op3_quality
 from siftlens.llm.secrets import op5_secrets
+from siftlens.llm.tokenfile import op7_token_file
 from siftlens.llm.topk import op1_topk
 
 
@@ -22,7 +24,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontaminate": op4_decontaminate,
         "op5_secrets": op5_secrets,
         "op6_licenses": op6_licenses,
+        "op7_token_file": op7_token_file,
         "op8_pack": op8_pack,
+        "op9_token_counts": op9_token_counts,
         "op10_neardup": op10_neardup,
     }
 
