@@ -1,17 +1,20 @@
-"""Registered queries over the driver's tables, each with the SQL that states the same result."""
+"""Registered queries over the driver's tables, each with the SQL that states the same result where SQL can."""
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftlens.plans import files, gathering, scalars, selecting, sequences  # noqa: F401  they register their queries
+from siftlens.plans.registry import QUERIES, SQL
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return QUERIES["head_tags_wide"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
