@@ -179,13 +179,13 @@ def index_join(spark, d):
 
 
 @query("union_overwrite", """
-WITH s AS (SELECT o_orderkey, o_orderpriority AS priority, 0 AS rank FROM orders WHERE o_orderkey % 3 <> 0
-  UNION ALL SELECT o_orderkey, upper(o_orderstatus), 1 FROM orders WHERE o_orderkey % 2 = 0)
+WITH s AS (SELECT o_orderkey, o_orderpriority AS priority, 0 AS rank FROM orders WHERE o_orderstatus <> 'P'
+  UNION ALL SELECT o_orderkey, upper(o_orderstatus), 1 FROM orders WHERE o_orderstatus <> 'F')
 SELECT o_orderkey, max_by(priority, rank) AS priority FROM s GROUP BY o_orderkey""")
 def union_overwrite(spark, d):
     o = read(spark, d, "orders")
-    one = o.where("o_orderkey % 3 <> 0").select("o_orderkey", F.col("o_orderpriority").alias("priority"), F.lit(0).alias("rank"))
-    two = o.where("o_orderkey % 2 = 0").select("o_orderkey", F.upper("o_orderstatus").alias("priority"), F.lit(1).alias("rank"))
+    one = o.where("o_orderstatus <> 'P'").select("o_orderkey", F.col("o_orderpriority").alias("priority"), F.lit(0).alias("rank"))
+    two = o.where("o_orderstatus <> 'F'").select("o_orderkey", F.upper("o_orderstatus").alias("priority"), F.lit(1).alias("rank"))
     return gather.merge_latest(one.unionByName(two), ["o_orderkey"], ["rank"], ["priority"])
 
 
