@@ -5,6 +5,7 @@ import html as entities
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _META = r"(?is)<meta\b([^>]*)>"
 
@@ -24,7 +25,7 @@ def head(column: str) -> dict[str, Column]:
     }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescaped(text: pd.Series) -> pd.Series:
     """Named and numbered entities resolved; Spark has no function for them."""
     return text.map(entities.unescape, na_action="ignore")
