@@ -6,9 +6,10 @@
 2. Documents with equal sets are one class; only its smallest id goes on. Copies are never paired.
 3. In each band bucket all members are paired with its smallest id; sketches reject pairs that are clearly below the
    threshold, and each member's most promising partner is confirmed on the full sets. The links give first components.
-4. Buckets that still hold several components are joined with themselves: every pair across components that the
-   sketches let through is confirmed. A pair within one component can add nothing. So no pair that meets in a band is
-   left out, yet a group of n near copies costs about n confirmations, not n * n.
+4. Buckets that still hold several components: in some rounds all others are paired with a member of the largest, again
+   one confirmation a member. Then such buckets are joined with themselves: every pair across components that the
+   sketches let through is confirmed once, in the first band it shares. A pair within one component can add nothing. So
+   no pair that meets in a band is left out, yet a group of n near copies costs about n confirmations, not n * n.
 5. Final components by hooking and pointer jumping over the links.
 
 Bands, links and labels stay tables; the driver sees counts only.
@@ -27,10 +28,15 @@ from siftlens.llm.common import stored, table
 
 #: Words of a shingle; bands, and samples in each: a pair at 0.75 is missed with probability (1 - 0.75**4)**32 < 1e-5.
 SHINGLE, BANDS, ROWS = 5, 32, 4
-SAMPLES = BANDS * ROWS
-#: Bits of a sketch, and bits in which two sketches may differ. At a similarity of 0.75, 64 of 2 * 128 samples' marks
-#: differ on average and 57 bits; 100 bits are more than five standard deviations above that.
-SKETCH_BITS, MOST_DIFFERENT = 512, 100
+#: Samples in all: those of the bands, and as many for the sketch alone.
+SAMPLES = 2 * BANDS * ROWS
+#: Bits of a sketch, and bits in which two sketches may differ. At a similarity of 0.75, 128 of 2 * 256 samples' marks
+#: differ on average and 113 bits, with a standard deviation of 13; the bound is four of these above.
+SKETCH_BITS, MOST_DIFFERENT = 1024, 165
+#: Bits of the bitmap of ids whose texts are needed again: 2 MB.
+MARKS = 1 << 24
+#: Rounds in which buckets with several components are joined to their largest, before all pairs across are looked at.
+ROUNDS = 2
 #: Least similarity in hundredths.
 LEAST = 75
 
@@ -130,7 +136,7 @@ def _sign(shingle: int):
                 there = np.array([len(s) > 0 for s in sets], bool)
                 if there.any():
                     samples, sketch = signatures([s for s in sets if len(s)])
-                    grouped = samples.reshape(len(samples), BANDS, ROWS).astype(np.uint64)
+                    grouped = samples[:, : BANDS * ROWS].reshape(len(samples), BANDS, ROWS).astype(np.uint64)
                     keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), grouped.shape[:2]) + np.uint64(1)
                     for k in range(ROWS):
                         keys = _mixed(keys * _STEP + grouped[:, :, k])
@@ -270,7 +276,7 @@ def _labels(nodes: DataFrame, rows: DataFrame, repeats: bool, shingle: int, leas
         again = rows.select("text").mapInArrow(_digested(shingle), "text string, n long, d1 long, d2 long")
         texts = again.withColumn("node", F.xxhash64("n", "d1", "d2")).join(met, "node", "left_semi").dropDuplicates(["node"])
     else:
-        texts = rows.join(met, "id")
+        texts = _likely(rows, met).join(met, "id")
     texts = stored(texts.select("node", "text"), "texts")
     side = lambda x: slim.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
     stars = hits.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
@@ -280,22 +286,62 @@ def _labels(nodes: DataFrame, rows: DataFrame, repeats: bool, shingle: int, leas
     # Each member has one link at most, to a smaller node: a forest.
     parents = hits.select("node").distinct().join(links.select(F.col("b").alias("node"), "a"), "node", "left")
     labels = roots(stored(parents.select("node", F.coalesce("a", "node").alias("parent")), "parents"))
-    # What still meets in a bucket across components.
+    for turn in range(ROUNDS):
+        pairs = _to_largest(_mixed_buckets(hits, labels), turn).join(side("b"), "b").join(side("a"), "a").where(_near(least))
+        chosen = F.struct("a", "a_label", "b_label")
+        pairs = pairs.groupBy("b").agg(F.min_by(chosen, F.struct(_different("a_sketch", "b_sketch"), F.col("a"))).alias("best")).select("b", "best.*")
+        labels, moved = _joined(labels, pairs, texts, shingle, least)
+        if not moved:
+            break
+    # All that still meets in a bucket across components.
+    open_ = stored(_mixed_buckets(hits, labels).join(nodes.select("node", "n", "sketch", "bands"), "node"), "open")
+    one = lambda x: open_.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "label", "n", "sketch", "bands")))
+    same = F.filter(F.arrays_zip("a_bands", "b_bands"), lambda x: x["a_bands"] == x["b_bands"])
+    once = F.when((F.col("a_label") != F.col("b_label")) & _near(least), same[0]["a_bands"] == F.col("key"))
+    across = one("a").join(one("b"), "key").where((F.col("a_node") < F.col("b_node")) & once)
+    return _joined(labels, across.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_label", "b_label"), texts, shingle, least)[0]
+
+
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose id has a mark in a bitmap of the wanted ids' hashes: all that are wanted, and some more the more
+    there are. The bitmap is of a fixed size, so it can be broadcast at any scale, and spares most texts the shuffle."""
+    mark = F.pmod(F.xxhash64("id"), F.lit(MARKS)) + 1
+    marks = wanted.groupBy(F.bitmap_bucket_number(mark).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(mark)).alias("marks"))
+    place = F.bitmap_bit_position(mark)
+    byte = F.conv(F.hex(F.substring("marks", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    set_ = F.expr("shiftright(byte, cast(place % 8 as int)) & 1 = 1")
+    both = rows.withColumn("bucket", F.bitmap_bucket_number(mark)).join(F.broadcast(marks), "bucket")
+    return both.withColumn("byte", byte).withColumn("place", place).where(set_).select(*rows.columns)
+
+
+def _mixed_buckets(hits: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node and label of the buckets that hold several components."""
     named = stored(hits.select("key", "node").join(labels, "node"), "named")
     mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
-    open_ = stored(named.join(stored(mixed, "mixed"), "key", "left_semi").join(slim, "node"), "open")
-    one = lambda x: open_.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "label", "n", "sketch")))
-    across = one("a").join(one("b"), "key").where((F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & _near(least))
-    pairs = across.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.first("a_label").alias("a_label"), F.first("b_label").alias("b_label"))
+    return named.join(stored(mixed, "mixed"), "key", "left_semi")
+
+
+def _to_largest(named: DataFrame, turn: int) -> DataFrame:
+    """Pairs of a member of each bucket's largest component, another in each turn, and all members of others."""
+    named = stored(named, "mixed_named")
+    sizes = named.groupBy("key", "label").agg(F.count("*").alias("c"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("a"))
+    top = sizes.groupBy("key").agg(F.max_by(F.struct("a", "label"), F.struct("c", "label")).alias("top"))
+    top = stored(top.select("key", "top.a", F.col("top.label").alias("a_label")), "largest")
+    pairs = named.join(top, "key").where("label != a_label")
+    return pairs.select("a", F.col("node").alias("b"), "a_label", F.col("label").alias("b_label")).distinct()
+
+
+def _joined(labels: DataFrame, pairs: DataFrame, texts: DataFrame, shingle: int, least: int) -> tuple[DataFrame, bool]:
+    """Labels after the confirmed ones of pairs (a, b, and their labels) have joined components, and whether any did."""
     pairs = stored(pairs, "pairs")
     if not pairs.limit(1).count():
-        return labels
+        return labels, False
     more = pairs.join(_confirmed(pairs.select("a", "b"), texts, shingle, least), ["a", "b"])
     more = stored(more.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct(), "more")
     if not more.limit(1).count():
-        return labels
+        return labels, False
     joined = components(more).select(F.col("node").alias("label"), F.col("label").alias("least"))
-    return labels.join(joined, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+    return stored(labels.join(joined, "label", "left").select("node", F.coalesce("least", "label").alias("label")), "labels"), True
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
