@@ -1,14 +1,15 @@
 """Exact top-k search by inner product, in three phases with a uniform threshold.
 
-The dimensions are cut into slices; a slice of all vectors is a node that knows a part of every score. Vectors lie in
-blocks, and blocks of queries visit blocks of vectors, so work and memory of a task are bounded by the block sizes.
+The dimensions are cut into slices; a slice of a block of vectors is a node that knows a part of every score. Blocks of
+queries visit blocks of vectors, so work and memory of a task are bounded by the block sizes; a block's nodes lie
+together, and their entries meet there before anything is sent.
 
-1. Each node gathers, block by block, the local list of the highest partial scores of each query. The exact scores of
-   the vectors on these lists give a cutoff that the k-th best score reaches at least.
-2. The cutoff goes out to the nodes. A vector whose score reaches it must reach a uniform share of it in some slice:
+1. Each node gathers its local list of the highest partial scores of each query. The exact scores of the vectors on the
+   lists give, over all blocks, a cutoff that the k-th best score reaches at least.
+2. The cutoff goes out to the blocks. A vector whose score reaches it must reach a uniform share of it in some slice:
    each node collects those entries. Entries whose known parts and the most that the other slices could add stay below
    the cutoff are dropped.
-3. What is left is resolved: all remaining exact scores, and the k highest of them.
+3. The remaining parts of what is left are resolved; scores that reach the cutoff are sent, and the k highest stay.
 
 Equal vectors of a block need no more than k + 1 of their smallest ids, as ties go to smaller ids.
 """
@@ -82,48 +83,61 @@ def _partial(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return queries @ vectors.T
 
 
+def _parts(queries: np.ndarray, vectors: np.ndarray, slices: int) -> list[np.ndarray]:
+    """What each slice adds to the scores of all rows with all rows."""
+    wide = max(queries.shape[1], vectors.shape[1])
+    cuts = [k * wide // slices for k in range(slices + 1)]
+    return [_partial(queries[:, a:b], vectors[:, a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _listed(parts: list[np.ndarray], other: np.ndarray, k: int) -> np.ndarray:
+    """Phase 1: which pairs are on the list of some node."""
+    seen = np.zeros(other.shape, bool)
+    for part in parts:
+        low = np.where(other, part, -np.iinfo(np.int64).max)
+        if low.shape[1] > k:
+            np.put_along_axis(seen, np.argpartition(-low, k, axis=1)[:, :k], True, axis=1)
+        else:
+            seen[:] = True
+    return seen & other
+
+
+def _reaching(parts: list[np.ndarray], other: np.ndarray, cutoffs: np.ndarray) -> np.ndarray:
+    """Phase 2: which pairs reach a share of the cutoff in some slice and could reach the cutoff."""
+    slices = len(parts)
+    share = -((-cutoffs) // slices)[:, None]  # slices * part >= cutoff
+    known, sent = np.zeros(other.shape, np.int64), np.zeros(other.shape, np.int64)
+    for part in parts:
+        there = part >= share
+        known += np.where(there, part, 0)
+        sent += there
+    return other & (sent > 0) & (known + (slices - sent) * share >= cutoffs[:, None])
+
+
 def _visits(slices: int, k: int, threshold: bool):
-    """Of rows of a block of queries, a block of vectors and a slice: local lists, or all entries at the threshold."""
+    """Of rows of a block of queries and a block of vectors: the exact scores of the listed pairs, or of those that may
+    reach the cutoff and do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 qid, q = _matrix(r["q_ids"], r["q_matrix"], r["q_wide"])
                 vid, v = _matrix(r["ids"], r["matrix"], r["wide"])
-                wide = max(q.shape[1], v.shape[1])
-                a, b = r["slice"] * wide // slices, (r["slice"] + 1) * wide // slices
-                scores = _partial(q[:, a:b], v[:, a:b])
                 other = qid[:, None] != vid[None, :]
+                parts = _parts(q, v, slices)
+                cutoffs = np.frombuffer(r["cutoffs"], np.int64) if threshold else None
+                row, col = np.nonzero(_reaching(parts, other, cutoffs) if threshold else _listed(parts, other, k))
+                score = sum((part[row, col] for part in parts), np.zeros(len(row), np.int64))  # phase 3
                 if threshold:
-                    cut = np.frombuffer(r["cutoffs"], np.int64)
-                    # Reaching a share: slices * part >= cutoff.
-                    row, col = np.nonzero(other & (scores >= -((-cut) // slices)[:, None]))
-                else:
-                    low = np.where(other, scores, np.iinfo(np.int64).min)
-                    top = np.argpartition(-low, min(k, low.shape[1] - 1), axis=1)[:, :k] if low.shape[1] > k else np.tile(np.arange(low.shape[1]), (len(qid), 1))
-                    row, col = np.repeat(np.arange(len(qid)), top.shape[1]), top.ravel()
-                    there = other[row, col]
-                    row, col = row[there], col[there]
+                    keep = score >= cutoffs[row]
+                    row, col, score = row[keep], col[keep], score[keep]
                 if len(row):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(qid[row]), pa.array(vid[col]), pa.array(np.full(len(row), r["slice"], np.int32)), pa.array(scores[row, col])],
-                        names=["query_id", "vec_id", "slice", "part"],
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(vid[col]), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-_ENTRIES = "query_id long, vec_id long, slice int, part long"
-
-
-def _exact(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """query_id, vec_id and score of pairs: the highest over the rows that share an id."""
-    side = lambda x: rows.select(F.col("id").alias(f"{x}_id"), F.col("vector").alias(x))
-    both = pairs.join(side("vec"), "vec_id").join(side("query"), "query_id")
-    n = F.least(F.size("vec"), F.size("query"))
-    products = F.zip_with(F.slice("vec", F.lit(1), n), F.slice("query", F.lit(1), n), lambda a, b: a * b)
-    score = F.aggregate(products, F.lit(0).cast("long"), lambda s, x: s + x)
-    return both.groupBy("query_id", "vec_id").agg(F.max(score).alias("score"))
+_SCORES = "query_id long, vec_id long, score long"
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, slices: int = SLICES) -> DataFrame:
@@ -145,22 +159,19 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec
     names = [r["q"] for r in asking.select("q").distinct().collect()]  # one number for each block of queries
     if not names:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score")).limit(0)
-    tasks = blocks.withColumn("slice", F.explode(F.array(*map(F.lit, range(slices))))).withColumn("q", F.explode(F.array(*map(F.lit, names))))
-    tasks = tasks.repartition(max(len(names) * 2, 24), "q", "slice", "ids")
-    lists = tasks.join(asking, "q").mapInArrow(_visits(slices, k, False), _ENTRIES)
-    seen = stored(lists.groupBy("query_id", "vec_id").agg(F.count("*").alias("n")).select("query_id", "vec_id"), "seen")
+    tasks = blocks.withColumn("q", F.explode(F.array(*map(F.lit, names))))
+    tasks = tasks.repartition(max(len(names) * 2, 24), "q", "ids").join(asking, "q")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    cutoffs = _exact(seen, rows).withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}").groupBy("query_id").agg(F.min("score").alias("cutoff"), F.count("*").alias("n"))
+
+    def ranked(scores: DataFrame) -> DataFrame:
+        items = scores.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return items.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    cutoffs = ranked(tasks.mapInArrow(_visits(slices, k, False), _SCORES)).groupBy("query_id").agg(F.min("score").alias("cutoff"), F.count("*").alias("n"))
     # A query with fewer than k candidates has no cutoff: it collects everything.
     cutoffs = stored(cutoffs.select("query_id", F.when(F.col("n") < k, F.lit(-(1 << 62))).otherwise(F.col("cutoff")).alias("cutoff")), "cutoffs")
-    told = asking.select("q", "q_ids").join(_cutoffs(asking, cutoffs), ["q"]).select("q", "cutoffs")
-    entries = tasks.join(asking, "q").join(told, "q").mapInArrow(_visits(slices, k, True), _ENTRIES)
-    bounds = entries.groupBy("query_id", "vec_id").agg(F.sum("part").alias("known"), F.countDistinct("slice").alias("slices")).join(cutoffs, "query_id")
-    # A slice that did not send an entry has less than a share of the cutoff there.
-    share = F.ceil(F.col("cutoff") / slices)
-    open_ = bounds.where(F.col("known") + (slices - F.col("slices")) * share >= F.col("cutoff")).select("query_id", "vec_id")
-    found = _exact(open_, rows).withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}")
-    return found.select("query_id", "rank", "vec_id", "score")
+    told = tasks.join(_cutoffs(asking, cutoffs), "q")
+    return ranked(told.mapInArrow(_visits(slices, k, True), _SCORES)).select("query_id", "rank", "vec_id", "score")
 
 
 def _cutoffs(asking: DataFrame, cutoffs: DataFrame) -> DataFrame:
