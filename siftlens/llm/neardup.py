@@ -351,5 +351,5 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id. Documents without words, or
     without an id, stay."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
-    return docs.join(stored(gone.distinct(), "gone"), F.col("doc_id") == F.col("gone_id"), "left_anti").select(*docs.columns)
+    gone = stored(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti").select(*docs.columns)

@@ -202,23 +202,24 @@ def _matches(text: Column, rule: Rule, number: int) -> Column:
 _EMPTY = "array<struct<start:bigint,kind:int,end:bigint,size:int>>"
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, rules: list[Rule] | None = None) -> DataFrame:
-    """Each row of docs (its id, and the columns of keep) with `found`: the spans of all rules, ordered by start and
-    then by the rule's place, each a struct of start, kind (place of the rule), end and size.
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, rules: list[Rule] | None = None) -> DataFrame:
+    """Each row of docs: its id, with keep the whole row as struct `kept`, and `found`: the spans of all rules, ordered by
+    start and then by the rule's place, each a struct of start, kind (place of the rule), end and size.
 
     A null text counts as empty and has no spans. Repeated rows each get their result; a null id is a key like
-    others. Columns of docs that are not asked for are not read."""
+    others. Without keep, columns that are not asked for are not read."""
     rules = RULES if rules is None else rules
-    rows = docs.select(*(F.col(c).alias(c) for c in dict.fromkeys([id_col, *(keep or [])])), F.coalesce(F.col(text_col), F.lit("")).alias("scan_text"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("scan_key"))
-    chosen = candidates(rows.select(F.col("scan_key").alias("key"), F.col("scan_text").alias("text")), rules)
-    rows = rows.join(chosen.withColumnsRenamed({"key": "scan_key", "mask": "scan_mask"}), "scan_key", "left")
-    text, mask = F.col("scan_text"), F.coalesce("scan_mask", F.lit(0))
+    own = [F.col(id_col).alias("id"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept")] if keep else [])]
+    rows = docs.select(F.struct(*own).alias("own"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("key"))
+    rows = rows.join(candidates(rows.select("key", "text"), rules), "key", "left")
+    text, mask = F.col("text"), F.coalesce("mask", F.lit(0))
     each = []
     for n, rule in enumerate(rules):
         full = trigram_query(rule.pattern) is True
         there = F.rlike(text, F.lit(rule.pattern)) if full else mask.bitwiseAND(F.lit(1 << n)) != 0
         each.append(F.when(there, _matches(text, rule, n)).otherwise(F.array().cast(_EMPTY)))
-    return rows.withColumn("found", F.array_sort(F.flatten(F.array(*each)))).drop("scan_text", "scan_key", "scan_mask")
+    out = rows.withColumn("found", F.array_sort(F.flatten(F.array(*each))))
+    return out.select(F.col("own.id").alias(id_col), *(["own.kept"] if keep else []), "found")
 
 
 def _listed(spans: Column, rules: list[Rule]) -> Column:
@@ -257,9 +258,9 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets replaced by a mark and n_chars kept true; texts without secrets stay."""
-    found = scan_secrets(docs, keep=docs.columns)
-    any_, text = F.size("found") > 0, redacted(F.col("text"), F.col("found"))
-    out = found.withColumn("text", F.when(any_, text).otherwise(F.col("text")))
+    found = scan_secrets(docs, keep=True)
+    any_, text = F.size("found") > 0, redacted(F.col("kept.text"), F.col("found"))
+    new = {"text": F.when(any_, text).otherwise(F.col("kept.text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(any_, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(any_, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("kept.n_chars"))
+    return found.select(*[new.get(c, F.col(f"kept.`{c}`")).alias(c) for c in docs.columns])
