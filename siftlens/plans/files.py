@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siftlens.operators import gather
 from siftlens.plans.registry import query, read
 from siftlens.sinks import text as out
-from siftlens.sources import jpeg, swf
+from siftlens.sources import jpeg, sniff, swf
 
 
 @query("template_rows", """
@@ -118,3 +118,32 @@ SELECT kind, count(*) AS n FROM (SELECT 'JPEG' AS kind FROM part UNION ALL SELEC
 def binary_classify(spark, d):
     both = _images(spark, d).unionByName(_movies(spark, d))
     return both.select(jpeg.sniffed(F.col("content")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("magic_types", """
+SELECT CASE WHEN starts_with(lower(html), '<!doctype html') THEN 'HTML' WHEN starts_with(html, '<') THEN 'XMP' END AS kind, count(*) AS n FROM pages GROUP BY 1
+UNION ALL SELECT 'JPEG', count(*) FROM part UNION ALL SELECT 'SWF', count(DISTINCT conv_id) FROM conversations""")
+def magic_types(spark, d):
+    pages = read(spark, d, "pages").select(F.col("url").alias("path"), F.col("html").cast("binary").alias("content"))
+    every = pages.unionByName(_images(spark, d)).unionByName(_movies(spark, d))
+    return every.select(sniff.magic_type(F.col("content"), F.col("path")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("json_records", """
+SELECT p_partkey, '{"key": ' || CAST(p_partkey AS VARCHAR) || ', "brand": "' || p_brand || '", "size": ' || CAST(p_size AS VARCHAR) || '}' AS line FROM part""")
+def json_records(spark, d):
+    p = read(spark, d, "part")
+    return p.select("p_partkey", out.json_record({"key": F.col("p_partkey"), "brand": F.col("p_brand"), "absent": F.lit(None), "size": F.col("p_size")}).alias("line"))
+
+
+@query("rdf_records", """
+SELECT n_nationkey, '<rdf:Description rdf:about=''' || n_name || '''><place:Name>' || n_name || '</place:Name><key:Region>' || CAST(n_regionkey AS VARCHAR) || '</key:Region></rdf:Description>' AS line FROM nation""")
+def rdf_records(spark, d):
+    n = read(spark, d, "nation")
+    return n.select("n_nationkey", out.rdf_record(F.col("n_name"), {"place": {"Name": F.col("n_name")}, "key": {"Region": F.col("n_regionkey"), "None": F.lit(None)}}).alias("line"))
+
+
+@query("csv_lines", """
+SELECT c_custkey, CAST(c_custkey AS VARCHAR) || ',' || c_name || ',,' || c_mktsegment AS line FROM customer""")
+def csv_lines(spark, d):
+    return read(spark, d, "customer").select("c_custkey", out.csv_line([F.col("c_custkey"), F.col("c_name"), F.lit(None), F.col("c_mktsegment")]).alias("line"))

@@ -49,3 +49,26 @@ def svg_path(points: Column) -> Column:
     start = F.concat(F.lit("M"), first["x"].cast("string"), F.lit(" "), first["y"].cast("string"))
     steps = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), step)).otherwise(F.array().cast("array<string>"))
     return F.when(n > 0, F.concat_ws(" ", F.concat(F.array(start), steps)))
+
+
+def json_record(columns: dict[str, Column]) -> Column:
+    """A JSON object of values as text: numbers and booleans bare, nulls left out, names in the given order."""
+    from siftlens.functions.text import json_value
+
+    parts = [F.when(c.isNotNull(), F.concat(F.lit(f'"{name}": '), json_value(c.cast("string")))) for name, c in columns.items()]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+
+
+def rdf_record(about: Column, groups: dict[str, dict[str, Column]]) -> Column:
+    """An RDF description with a namespace for each group; null values are left out."""
+    from siftlens.functions.text import xml_escaped
+
+    parts = [F.when(c.isNotNull(), F.concat(F.lit(f"<{g}:{name}>"), xml_escaped(c.cast("string")), F.lit(f"</{g}:{name}>"))) for g, columns in groups.items() for name, c in columns.items()]
+    return F.concat(F.lit("<rdf:Description rdf:about='"), xml_escaped(about), F.lit("'>"), F.concat_ws("", *parts), F.lit("</rdf:Description>"))
+
+
+def csv_line(columns: list[Column]) -> Column:
+    """A CSV line; null fields are empty."""
+    from siftlens.functions.text import quoted_csv
+
+    return F.concat_ws(",", *[F.coalesce(quoted_csv(c.cast("string")), F.lit("")) for c in columns])

@@ -169,3 +169,34 @@ def test_files(spark, tmp_path):
         p.write_bytes(zlib.compress(b"x"))
     assert sorted(r["extension"] for r in files(spark, str(tmp_path), accept=("jpg", "swf")).collect()) == ["jpg", "swf"]
     assert sorted(r["extension"] for r in files(spark, str(tmp_path), reject=("txt",)).collect()) == ["jpg", "swf"]
+
+
+def test_small_image_headers(spark):
+    from pyspark.sql import functions as F
+
+    from siftlens.sources import sniff
+
+    gif = b"GIF89a" + struct.pack("<HHBBB", 300, 20, 0xF6, 3, 0)
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">IIBB", 640, 480, 8, 6)
+    df = spark.createDataFrame([(bytearray(gif),), (bytearray(png),), (bytearray(b"?"),)], "b binary")
+    rows = df.select(*[c.alias(f"g_{k}") for k, c in sniff.gif_header(F.col("b")).items()], *[c.alias(f"p_{k}") for k, c in sniff.png_header(F.col("b")).items()]).collect()
+    assert (rows[0]["g_version"], rows[0]["g_width"], rows[0]["g_bits_per_pixel"], rows[0]["g_background"], rows[0]["p_width"]) == ("89a", 300, 7, 3, None)
+    assert (rows[1]["p_width"], rows[1]["p_height"], rows[1]["p_bits_per_pixel"], rows[1]["p_alpha"], rows[1]["g_width"]) == (640, 480, 32, True, None)
+    assert set(rows[2]) == {None}
+
+
+@pytest.mark.parametrize("content, path, kind", [(b"%PDF-1.4", "a", "PDF"), (b"PK\3\4", "a", "ZIP"), (b"ID3", "a.mp3", "MP3"), (b"ID3", "a.txt", None), (b"II*\0", "", "TIFF"), (b"", "", None), (b"{\\rtf1", "", "RTF"), (b"\0\0\0\x18ftyp", "", "MOV")])
+def test_magic(spark, content, path, kind):
+    from pyspark.sql import functions as F
+
+    from siftlens.sources import sniff
+
+    df = spark.createDataFrame([(bytearray(content), path)], "b binary, p string")
+    assert df.select(sniff.magic_type(F.col("b"), F.col("p"))).first()[0] == kind
+
+
+def test_flv():
+    from siftlens.sinks.video import flv
+
+    data = flv([b"one", b"three"], codec=4, rate=10)
+    assert data[:5] == b"FLV\x01\x01" and data[13] == 9 and data[24] == 0x14 and data[13 + 11 + 4 + 4 + 7 - 3 : 13 + 11 + 4 + 4 + 7] == (100).to_bytes(3, "big")
