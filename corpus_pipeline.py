@@ -8,13 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siftlens.llm import decontaminate, langid, neardup, packing, secrets
 from siftlens.llm.common import stored, table
+from siftlens.session import ship
+
+
+def _shipping(stage):
+    """The stage, with the package's code at hand on the executors."""
+    return lambda spark, docs, sf_dir: stage(ship(spark), docs, sf_dir)
+
 
 STAGES = [
-    ("language_id", langid.stage),
-    ("near_dedup", neardup.stage),
-    ("decontaminate", decontaminate.stage),
-    ("secrets", secrets.stage),
-    ("packing", packing.stage),
+    ("language_id", _shipping(langid.stage)),
+    ("near_dedup", _shipping(neardup.stage)),
+    ("decontaminate", _shipping(decontaminate.stage)),
+    ("secrets", _shipping(secrets.stage)),
+    ("packing", _shipping(packing.stage)),
 ]
 
 #: Trained probabilities, shingle hashes and the packing plan have no SQL form; tests hold each stage against brute force.
