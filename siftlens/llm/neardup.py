@@ -7,8 +7,8 @@
 3. In each band bucket all members are paired with its smallest id; sketches reject pairs that are clearly below the
    threshold, and each member's most promising partner is confirmed on the full sets. The links give first components.
 4. Buckets that still hold several components: in some rounds all others are paired with a member of the largest, again
-   one confirmation a member. Then such buckets are joined with themselves: every pair across components that the
-   sketches let through is confirmed once, in the first band it shares. A pair within one component can add nothing. So
+   one confirmation a member. Then such buckets are joined with themselves, with the whole sets of their members: every
+   pair across components that the sketches let through is confirmed within the join, in the first band it shares. A pair within one component can add nothing. So
    no pair that meets in a band is left out, yet a group of n near copies costs about n confirmations, not n * n.
 5. Final components by hooking and pointer jumping over the links.
 
@@ -171,6 +171,21 @@ def _digested(shingle: int):
     return run
 
 
+def _sets(shingle: int):
+    """Nodes with their sets of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                sets = shingle_sets([t.encode() for t in part.column("text").to_pylist()], shingle)
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("node"), values], names=["node", "shingles"])
+
+    return run
+
+
 def _confirm(shingle: int, least: int):
     """Of rows of two nodes and their texts: the pairs of nodes whose full sets are similar enough."""
 
@@ -293,13 +308,17 @@ def _labels(nodes: DataFrame, rows: DataFrame, repeats: bool, shingle: int, leas
         labels, moved = _joined(labels, pairs, texts, shingle, least)
         if not moved:
             break
-    # All that still meets in a bucket across components.
-    open_ = stored(_mixed_buckets(hits, labels).join(nodes.select("node", "n", "sketch", "bands"), "node"), "open")
-    one = lambda x: open_.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "label", "n", "sketch", "bands")))
+    # All that still meets in a bucket across components: with its whole set, so that only links leave the join.
+    left = stored(_mixed_buckets(hits, labels), "left")
+    sets = texts.join(left.select("node").distinct(), "node", "left_semi").mapInArrow(_sets(shingle), "node long, shingles array<long>")
+    open_ = stored(left.join(nodes.select("node", "n", "sketch", "bands"), "node").join(sets, "node"), "open")
+    one = lambda x: open_.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "label", "n", "sketch", "bands", "shingles")))
     same = F.filter(F.arrays_zip("a_bands", "b_bands"), lambda x: x["a_bands"] == x["b_bands"])
-    once = F.when((F.col("a_label") != F.col("b_label")) & _near(least), same[0]["a_bands"] == F.col("key"))
-    across = one("a").join(one("b"), "key").where((F.col("a_node") < F.col("b_node")) & once)
-    return _joined(labels, across.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_label", "b_label"), texts, shingle, least)[0]
+    common = F.size(F.array_intersect("a_shingles", "b_shingles")).cast("long")
+    linked = 100 * common >= least * (F.col("a_n") + F.col("b_n") - common)
+    fits = F.when((F.col("a_label") != F.col("b_label")) & _near(least), F.when(same[0]["a_bands"] == F.col("key"), linked))
+    across = one("a").join(one("b"), "key").where((F.col("a_node") < F.col("b_node")) & fits)
+    return _merged(labels, across.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))[0]
 
 
 def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -337,7 +356,12 @@ def _joined(labels: DataFrame, pairs: DataFrame, texts: DataFrame, shingle: int,
     if not pairs.limit(1).count():
         return labels, False
     more = pairs.join(_confirmed(pairs.select("a", "b"), texts, shingle, least), ["a", "b"])
-    more = stored(more.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct(), "more")
+    return _merged(labels, more.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
+
+
+def _merged(labels: DataFrame, more: DataFrame) -> tuple[DataFrame, bool]:
+    """Labels after links (a, b) between labels, and whether there are any."""
+    more = stored(more.distinct(), "more")
     if not more.limit(1).count():
         return labels, False
     joined = components(more).select(F.col("node").alias("label"), F.col("label").alias("least"))
