@@ -13,7 +13,7 @@ many documents.
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftlens.llm.common import table
+from siftlens.llm.common import stored, table
 
 # The phrases and labels of the contract.
 PHRASES = [
@@ -74,6 +74,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     grams = words.where(F.size("w") > 1).select("id", "th", F.posexplode(pairs).alias("at", "gram")).withColumn("hash", F.xxhash64("gram"))
     hits = grams.join(known, "hash").where(grams["gram"] == known["gram"])
     votes = hits.groupBy("id", "th", "template", "label", "phrase", "size", (F.col("at") - F.col("place")).alias("start")).agg(F.bit_or("bit").alias("votes"))
+    votes = stored(votes, "votes")  # small, and read twice
     full = votes.where(F.col("phrase") & (F.bit_count("votes") == F.col("size")))
     exact = full.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), "label"))).alias("places"))
     # Notices: sessions of near diagonals.
