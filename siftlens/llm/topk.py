@@ -11,7 +11,7 @@ together, and their entries meet there before anything is sent.
    the cutoff are dropped.
 3. The remaining parts of what is left are resolved; scores that reach the cutoff are sent, and the k highest stay.
 
-Equal vectors of a block need no more than k + 1 of their smallest ids, as ties go to smaller ids.
+Equal vectors of a block need no more than k + 1 of their smallest distinct ids, as ties go to smaller ids.
 """
 
 from collections.abc import Iterator
@@ -56,6 +56,8 @@ def _blocks(size: int, copies: int | None):
                 if copies is not None and len(ids):
                     _, back = np.unique(matrix, axis=0, return_inverse=True)
                     by = np.argsort(back.ravel(), kind="stable")
+                    # A row repeated is one item: it must not use up the room of other ids.
+                    by = by[np.append(True, (np.diff(back.ravel()[by]) != 0) | (np.diff(ids[by]) != 0))]
                     first = np.flatnonzero(np.diff(np.concatenate([[-1], back.ravel()[by]])))
                     nth = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
                     keep = np.sort(by[nth < copies])

@@ -38,6 +38,14 @@ def test_ties_repeats_nulls(spark, shared, slices):
     check(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int"), slices=slices)
 
 
+def test_repeated_rows_leave_room_for_other_ids(spark, shared):
+    rows = [(i, [0.5, 1.0]) for i in [1] * 6 + [2, 3, 4, 5, 6, 50]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    check(df)
+    assert top_k(df).count() == 5
+    check(df.union(df).coalesce(1))
+
+
 def test_few_and_none(spark, shared):
     df = spark.createDataFrame([(0, [1.0]), (3, [2.0])], "vec_id long, embedding array<double>")
     check(df)
