@@ -161,12 +161,12 @@ def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
 
 
 def _digested(shingle: int):
-    """Texts with the digests of their sets."""
+    """Rows with the digests of their texts' sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets([(t or "").encode() for t in batch.column("text").to_pylist()], shingle)
-            yield pa.RecordBatch.from_arrays([batch.column("text"), *_digests(sets)], names=["text", "n", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_digests(sets)], names=[*batch.schema.names, "n", "d1", "d2"])
 
     return run
 
@@ -259,7 +259,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that share an id are told apart by their texts; repeated rows are copies of each other. A row with a null id
     takes no part in links: its component_id is null and it is kept. Other columns are not read; an empty table gives
     no rows. Sets are told apart by a 64-bit digest, and compared as sets of 64-bit hashes."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    signed, named, _ = _grouped(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), shingle, least)
+    return _verdicts(signed, named).withColumnRenamed("id", id_col)
+
+
+def _grouped(rows: DataFrame, shingle: int, least: int) -> tuple[DataFrame, DataFrame, bool]:
+    """The signed rows; each node with its smallest id and the label of its component; whether ids repeat."""
     signed = rows.mapInArrow(_sign(shingle), T.StructType([rows.schema["id"], *_SIGNED]))
     signed = stored(signed.select("id", "n", F.xxhash64("n", "d1", "d2").alias("node"), "sketch", "bands"), "signed")
     members = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
@@ -269,14 +274,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = members.join(reps, ["id", "node"]).select("id", "node", "n", "sketch", "bands")
     nodes = stored(nodes.dropDuplicates(["node"]) if repeats else nodes, "nodes")
     named = reps.join(_labels(nodes, rows, repeats, shingle, least), "node", "left")
-    named = stored(named.select("node", "id", F.coalesce("label", "node").alias("label")), "labelled")
+    return signed, stored(named.select("node", "id", F.coalesce("label", "node").alias("label")), "labelled"), repeats
+
+
+def _verdicts(signed: DataFrame, named: DataFrame) -> DataFrame:
     # The smallest id of each component.
     first = named.groupBy("label").agg(F.min("id").alias("component_id"))
     of = stored(named.join(first, "label").select("node", "component_id"), "of")
     out = signed.select("id", "n", "node").join(of, "node", "left")
     own = (F.col("n") == 0) | F.col("id").isNull()
     component = F.when(own, F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def _labels(nodes: DataFrame, rows: DataFrame, repeats: bool, shingle: int, least: int) -> DataFrame:
@@ -373,7 +381,19 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id. Documents without words, or
-    without an id, stay."""
-    gone = stored(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates, of those with its smallest doc_id. Rows without words, or without an
+    id, stay. Rows that share a doc_id are judged each by its own text; of those with the same doc_id and the same set
+    of shingles one stays."""
+    signed, named, repeats = _grouped(docs.select(F.col("doc_id").alias("id"), "text"), SHINGLE, LEAST)
+    gone = stored(_verdicts(signed, named).where(~F.col("kept")).select("id").distinct(), "gone")
+    if not repeats:
+        return docs.join(gone, docs["doc_id"] == gone["id"], "left_anti").select(*docs.columns)
+    twice = stored(signed.where(F.col("id").isNotNull()).groupBy("id").count().where("count > 1").select("id"), "twice")
+    settled = twice.union(gone).distinct()
+    once = docs.join(settled, docs["doc_id"] == settled["id"], "left_anti").select(*docs.columns)
+    packed = docs.join(twice, docs["doc_id"] == twice["id"], "left_semi").select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"])
+    again = packed.mapInArrow(_digested(SHINGLE), T.StructType([*packed.schema, *_SIGNED[:3]]))
+    again = again.select("row", "n", F.col("row.doc_id").alias("id"), F.xxhash64("n", "d1", "d2").alias("node"))
+    keep = named.groupBy("label").agg(F.min(F.struct("id", "node")).alias("keep")).select("keep.*")
+    one = again.where("n > 0").join(keep, ["id", "node"], "left_semi").groupBy("id", "node").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return once.union(one.select("row.*")).union(again.where("n = 0").select("row.*"))

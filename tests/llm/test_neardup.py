@@ -73,6 +73,15 @@ def test_stage_keeps_one_of_each_group(spark, rows):
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 3, 4] and out.columns == df.columns
 
 
+def test_stage_judges_rows_that_share_an_id_apart(spark, rows):
+    text, other = "one two three four five six seven", "other words that are not the same at all"
+    df = rows([(3, text), (3, text), (5, text.upper()), (5, other), (None, text), (None, text), (8, None), (8, None), (9, other), (4, "w x y z")])
+    out = d.stage(spark, df, "")
+    assert out.columns == df.columns
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect())
+    assert got == [(0, text), (0, text), (3, text), (4, "w x y z"), (5, other), (8, ""), (8, "")]
+
+
 @pytest.mark.parametrize("share", [0.75, 0.9])
 def test_sketches_estimate_similarity(share):
     rng = np.random.default_rng(1)
