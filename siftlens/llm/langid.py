@@ -346,10 +346,11 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that have a language: those without a letter, and those of which no language has a fifth of the
-    words' probability more than chance, go."""
+    """The documents that have a language: those without a letter go. A text that switches between languages has one
+    all the same, however small its largest share. Where no row could teach, nothing is judged and all stay."""
     field = _fitted(docs)
+    if not field.langs:
+        return docs
     packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
     found = identify(packed, field, "row")
-    least = min(0.4, 1 / max(1, len(field.langs)) + 0.1)
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("row.*")
+    return found.where(F.col("lang_pred") != UNDETERMINED).select("row.*")

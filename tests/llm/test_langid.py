@@ -52,3 +52,20 @@ def test_pieces_end_between_words():
     pieces = list(langid._pieces(text, 7))
     assert "".join(pieces) == text and len(pieces) > 5
     assert not any(a[-1].isalpha() and b[:1].isalpha() for a, b in zip(pieces, pieces[1:], strict=False))
+
+
+def test_stage_keeps_switching_texts(spark, documents, data, field):
+    """An even mixture of all languages has no large share."""
+    some = {}
+    for r in documents.where("lang is not null and n_chars > 400").orderBy("doc_id").collect():
+        some.setdefault(r["lang"], r["text"])
+    mixed = " ".join(" ".join(t.split()[:30]) for t in some.values())
+    more = spark.createDataFrame([(10**9, mixed, None, "s", len(mixed)), (10**9 + 1, "12 34", None, "s", 5)], documents.schema)
+    found = langid.identify(more, field).where(f"doc_id = {10**9}").first()
+    assert found["lang_pred"] != langid.UNDETERMINED and found["score"] < 0.35
+    assert [r["doc_id"] for r in langid.stage(spark, documents.union(more), data).where(f"doc_id >= {10**9}").collect()] == [10**9]
+
+
+def test_stage_keeps_all_where_nothing_could_be_fitted(spark, documents, data):
+    df = documents.limit(20).selectExpr("doc_id", "text", "cast(null as string) lang", "source", "n_chars")
+    assert langid.stage(spark, df, data).count() == df.count()
