@@ -15,6 +15,7 @@ Equal vectors of a block need no more than k + 1 of their smallest distinct ids,
 """
 
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +29,21 @@ K, EVERY, SCALE = 5, 50, 256
 SLICES, BLOCK, QUERIES = 4, 4096, 512
 #: Up to this, sums of products are exact in double precision.
 _EXACT = float(1 << 53)
+#: Scores below this by their vectors' lengths are added as longs; others as Python integers, held to +-_MOST.
+_PLAIN, _MOST = float(1 << 60), (1 << 63) - 1
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) of each component as a long; null for vectors that take no part."""
-    limit = float(1 << 27)  # so that a score of up to 512 components is a long
-    whole = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) * scale >= limit))
+    """floor(scale * x) of each component, a whole number held as a double, as it may be beyond a long; null for vectors
+    that take no part."""
+    x = lambda c: F.lit(float(scale)) * c.cast("double")
+    whole = F.transform(vector, lambda c: F.when(F.abs(x(c)) < F.lit(_EXACT), F.floor(x(c)).cast("double")).otherwise(x(c)))
+    bad = F.exists(vector, lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == F.lit(float("inf"))))
     return F.when(vector.isNotNull() & ~F.coalesce(bad, F.lit(False)), whole)
 
 
 def _blocks(size: int, copies: int | None):
-    """Rows of id and vector, as blocks: ids, and the matrix as 64-bit integers."""
+    """Rows of id and vector, as blocks: ids, and the matrix of whole numbers as doubles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,7 +52,7 @@ def _blocks(size: int, copies: int | None):
                 ids, vectors = part.column("id").to_numpy(zero_copy_only=False), part.column("vector")
                 flat, ends = vectors.flatten().to_numpy(zero_copy_only=False), np.diff(vectors.offsets.to_numpy())
                 wide = int(ends.max(initial=0))
-                matrix = np.zeros((len(ids), wide), np.int64)
+                matrix = np.zeros((len(ids), wide))
                 if wide:
                     matrix[np.arange(wide) < ends[:, None]] = flat
                 order = np.argsort(ids, kind="stable")
@@ -72,17 +76,44 @@ def _blocks(size: int, copies: int | None):
 
 def _matrix(ids: bytes, raw: bytes, wide: int) -> tuple[np.ndarray, np.ndarray]:
     own = np.frombuffer(ids, np.int64)
-    return own, np.frombuffer(raw, np.int64).reshape(len(own), wide)
+    return own, np.frombuffer(raw, np.float64).reshape(len(own), wide)
 
 
 def _partial(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Exact inner products of all rows with all rows."""
+    """Inner products of all rows with all rows, exact for pairs that are not _beyond."""
     wide = min(queries.shape[1], vectors.shape[1])
     queries, vectors = queries[:, :wide], vectors[:, :wide]
     most = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, wide)
     if most < _EXACT:
-        return (queries.astype(np.float64) @ vectors.astype(np.float64).T).astype(np.int64)
-    return queries @ vectors.T
+        return (queries @ vectors.T).astype(np.int64)
+    fits = lambda x: np.where(np.abs(x) < _PLAIN, x, 0).astype(np.int64)
+    return fits(queries) @ fits(vectors).T
+
+
+def _beyond(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Which pairs' products or sums might not be longs."""
+    most = lambda x: np.abs(x).max(axis=1, initial=0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        own, other = most(queries)[:, None], most(vectors)[None, :]
+        return (own > 0) & (other > 0) & ~(np.maximum(own, 1) * np.maximum(other, 1) * max(queries.shape[1], vectors.shape[1], 1) < _PLAIN)
+
+
+def _large(queries: np.ndarray, vectors: np.ndarray, pairs: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score, in Python integers held to +-_MOST, of the pairs; of each row the k highest."""
+    wide = min(queries.shape[1], vectors.shape[1])
+    there = np.flatnonzero(pairs.any(axis=0))
+    ints = dict(zip(there.tolist(), ([int(x) for x in v] for v in vectors[there, :wide]), strict=True))
+    rows, cols, scores = [], [], []
+    for i in np.flatnonzero(pairs.any(axis=1)).tolist():
+        q, col = [int(x) for x in queries[i, :wide]], np.flatnonzero(pairs[i])
+        score = np.array([max(-_MOST, min(_MOST, sum(map(mul, q, ints[j])))) for j in col.tolist()], np.int64)
+        if k is not None and len(col) > k:
+            best = np.argpartition(-score, k)[:k]
+            col, score = col[best], score[best]
+        rows.append(np.full(len(col), i))
+        cols.append(col)
+        scores.append(score)
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
 
 
 def _parts(queries: np.ndarray, vectors: np.ndarray, slices: int) -> list[np.ndarray]:
@@ -107,6 +138,7 @@ def _listed(parts: list[np.ndarray], other: np.ndarray, k: int) -> np.ndarray:
 def _reaching(parts: list[np.ndarray], other: np.ndarray, cutoffs: np.ndarray) -> np.ndarray:
     """Phase 2: which pairs reach a share of the cutoff in some slice and could reach the cutoff."""
     slices = len(parts)
+    cutoffs = np.clip(cutoffs, -(1 << 62), 1 << 61)  # lower is safe, and no score here is beyond _PLAIN
     share = -((-cutoffs) // slices)[:, None]  # slices * part >= cutoff
     known, sent = np.zeros(other.shape, np.int64), np.zeros(other.shape, np.int64)
     for part in parts:
@@ -128,8 +160,12 @@ def _visits(slices: int, k: int, threshold: bool):
                 other = qid[:, None] != vid[None, :]
                 parts = _parts(q, v, slices)
                 cutoffs = np.frombuffer(r["cutoffs"], np.int64) if threshold else None
-                row, col = np.nonzero(_reaching(parts, other, cutoffs) if threshold else _listed(parts, other, k))
+                large = other & _beyond(q, v)
+                plain = other & ~large
+                row, col = np.nonzero(_reaching(parts, plain, cutoffs) if threshold else _listed(parts, plain, k))
                 score = sum((part[row, col] for part in parts), np.zeros(len(row), np.int64))  # phase 3
+                if large.any():
+                    row, col, score = map(np.concatenate, zip((row, col, score), _large(q, v, large, None if threshold else k), strict=True))
                 if threshold:
                     keep = score >= cutoffs[row]
                     row, col, score = row[keep], col[keep], score[keep]
@@ -146,8 +182,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec
     """The k highest-scoring other vectors of each query: query_id, rank, vec_id, score. Queries are the rows whose id is
     divisible by `every`; ties go to the smaller id.
 
-    Vectors that are null, or hold a null or a component that is not finite, take no part, nor do rows without an id or
-    with a component beyond 2**27 when scaled, whose scores might not be longs.
+    Vectors that are null, or hold a null or a component that is not finite, take no part, nor do rows without an id.
+    Scores are exact whatever the components; one among the k highest that is not a long is an error, as in SQL.
     Rows that share an id are one item, whose score is the highest of theirs. Vectors of unequal length are taken as if
     zeros followed. Other columns are not read; an empty table gives no rows."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("vector")).dropna()
@@ -171,9 +207,11 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec
 
     cutoffs = ranked(tasks.mapInArrow(_visits(slices, k, False), _SCORES)).groupBy("query_id").agg(F.min("score").alias("cutoff"), F.count("*").alias("n"))
     # A query with fewer than k candidates has no cutoff: it collects everything.
-    cutoffs = stored(cutoffs.select("query_id", F.when(F.col("n") < k, F.lit(-(1 << 62))).otherwise(F.col("cutoff")).alias("cutoff")), "cutoffs")
+    cutoffs = stored(cutoffs.select("query_id", F.when(F.col("n") < k, F.lit(-_MOST)).otherwise(F.col("cutoff")).alias("cutoff")), "cutoffs")
     told = tasks.join(_cutoffs(asking, cutoffs), "q")
-    return ranked(told.mapInArrow(_visits(slices, k, True), _SCORES)).select("query_id", "rank", "vec_id", "score")
+    found = ranked(told.mapInArrow(_visits(slices, k, True), _SCORES))
+    fits = F.when(F.abs("score") < _MOST, F.col("score")).otherwise(F.raise_error(F.lit("a score is beyond a long")).cast("long"))
+    return found.select("query_id", "rank", "vec_id", fits.alias("score"))
 
 
 def _cutoffs(asking: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -191,7 +229,7 @@ def _cutoffs(asking: DataFrame, cutoffs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("q"), pa.array(rows, pa.binary())], names=["q", "cutoffs"])
 
     each = asking.select("q", "q_ids").mapInArrow(ids, "q long, query_id long, place int").join(cutoffs, "query_id", "left")
-    each = each.withColumn("cutoff", F.coalesce("cutoff", F.lit(-(1 << 62))))
+    each = each.withColumn("cutoff", F.coalesce("cutoff", F.lit(-_MOST)))
     return each.groupBy("q").agg(F.collect_set(F.struct("place", "cutoff")).alias("all")).mapInArrow(packed, "q long, cutoffs binary")
 
 

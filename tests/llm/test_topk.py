@@ -46,6 +46,22 @@ def test_repeated_rows_leave_room_for_other_ids(spark, shared):
     check(df.union(df).coalesce(1))
 
 
+@pytest.mark.parametrize("slices", [1, 4])
+def test_large_components(spark, shared, slices):
+    rng = random.Random(2)
+    rows = [(i, [rng.choice([0.5, -3.0, 1e6, -5e6, 524288.0]) for _ in range(4)]) for i in range(130)]
+    rows += [(203, [3e13, 0.0, 0.0, -2.0]), (201, [1e17, -1e17, 1e-3, 1.0]), (202, [-1e17, 0.0, 0.0, 0.0]), (250, [1.0, 1.0, 0.5, 0.5]), (300, [0.0, 0.0, 1e14, 0.0])]
+    check(spark.createDataFrame(rows, "vec_id long, embedding array<double>").where("vec_id < 200 or vec_id = 250"), slices=slices)
+    small = [(i, [1.0, 1.0, v[2] / 1e6, v[3] / 1e6] if i % 50 == 0 else [x / 1e6 for x in v]) for i, v in rows[:130]]
+    check(spark.createDataFrame(small + [r for r in rows[130:] if r[0] != 300], "vec_id long, embedding array<double>"), slices=slices)
+
+
+def test_scores_beyond_a_long_are_an_error(spark, shared):
+    df = spark.createDataFrame([(0, [1e30]), (1, [1e30]), (2, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond a long"):
+        top_k(df).collect()
+
+
 def test_few_and_none(spark, shared):
     df = spark.createDataFrame([(0, [1.0]), (3, [2.0])], "vec_id long, embedding array<double>")
     check(df)
