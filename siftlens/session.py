@@ -8,6 +8,9 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Bytes of a batch between the JVM and Python, where the session does not say.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
 
 def session(app: str = "siftlens", master: str | None = None, **conf: str) -> SparkSession:
     """A UTC session with adaptive execution on."""
@@ -27,7 +30,9 @@ def session(app: str = "siftlens", master: str | None = None, **conf: str) -> Sp
 
 def ship(spark: SparkSession) -> SparkSession:
     """Give the package's modules to the executors of this application, once: Python functions of the engine are
-    imported there by name."""
+    imported there by name. Batches for them are bounded by bytes, as texts may be long."""
+    if not spark.sparkContext.getConf().contains(BATCH_BYTES[0]):
+        spark.conf.set(*BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
