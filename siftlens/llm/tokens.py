@@ -2,7 +2,8 @@
 
 Both vocabularies split a text before they merge, and never merge across a space that follows a non-space. So a text's
 ids are the ids of its stretches between such spaces; each new stretch goes to the library, one met before to a
-dictionary. Texts where a space stands between white space go to the library whole.
+dictionary. Texts where a space stands between white space go to the library whole, as do texts that hold a special
+token's string, which the library gives that token's id.
 """
 
 import re
@@ -34,7 +35,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.spaces = spaces
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -42,6 +44,8 @@ class Encoder:
     def _stretches(self, text: str) -> list[str]:
         """Where spaces count, a stretch stands for itself with the space before it; a first one, which has none, is
         told by a space in front."""
+        if self.special and self.special.search(text):
+            return [" " + text if self.spaces else text]
         if not self.spaces:
             return [x for x in _BARE.split(text) if x]
         if _RUN.search(text):

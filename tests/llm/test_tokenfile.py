@@ -10,9 +10,7 @@ from siftlens.llm.tokens import vocabulary_path
 
 
 def library(name):
-    t = Tokenizer.from_file(vocabulary_path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(vocabulary_path(name))
 
 
 def check(found, texts):
