@@ -11,7 +11,7 @@ text, in one pass without a shuffle, vectorised over the words of many documents
 """
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlens.llm.common import hashed_share, table
+from siftlens.llm.common import cuts_by_bytes, quoted, table, text_of, unpacked, whole
 
-#: Expected documents of each language in the sample, and the longest text taken for it, in characters.
-SAMPLE_DOCS, SAMPLE_CHARS = 300, 20_000
+#: Expected documents of each language in the sample, how much of a text is taken for it in characters, and the most
+#: languages that are learned: together the bound of what the driver fits on.
+SAMPLE_DOCS, SAMPLE_CHARS, LANGS = 300, 20_000, 200
 #: Rows of the weight table; frequent words of each language in the lexicon; characters worked on at a time.
 SLOTS, LEXICON, CHUNK = 1 << 17, 2_000, 1 << 20
 UNDETERMINED = "und"
@@ -207,7 +208,8 @@ def forward_backward(scores: np.ndarray, sizes: np.ndarray, steps: np.ndarray) -
 
 def fit(rows: list[tuple[str, str]], rounds: int = 160, batch: int = 256, piece: int = 8, pieces: int = 3, seed: int = 7) -> Field:
     """A field from (language, text) rows: stochastic gradients of the sequences' log-likelihood, with steps that adapt
-    to each weight. Rows of no words teach nothing."""
+    to each weight. A row of fewer words than a piece is said over and over until it fills one; rows of no words teach
+    nothing."""
     langs = sorted({lang for lang, _ in rows})
     label = {lang: k for k, lang in enumerate(langs)}
     counts: list[dict[int, int]] = [{} for _ in langs]
@@ -221,12 +223,14 @@ def fit(rows: list[tuple[str, str]], rounds: int = 160, batch: int = 256, piece:
     slots, sizes, tags, room = [], [], [], []
     for lang, text in rows:
         words = Words(text, lexicon)
-        if words.n >= piece:
+        if words.n:
             slot, size = words.flat()
-            slots.append(slot.astype(np.int32))
-            sizes.append(size)
-            tags.append(np.full(words.n, label[lang]))
-            room.append(np.arange(words.n) <= words.n - piece)
+            times = -(-piece // words.n) if words.n < piece else 1
+            slots.append(np.tile(slot.astype(np.int32), times))
+            sizes.append(np.tile(size, times))
+            n = words.n * times
+            tags.append(np.full(n, label[lang]))
+            room.append(np.arange(n) <= n - piece)
     weights, steps = np.zeros((SLOTS, len(langs)), np.float32), np.zeros((len(langs), len(langs)), np.float32)
     if not slots:
         return Field([], weights, steps, lexicon)
@@ -287,14 +291,19 @@ def fit(rows: list[tuple[str, str]], rounds: int = 160, batch: int = 256, piece:
 
 
 def sample(docs: DataFrame, teaches, id_col: str, text_col: str, lang_col: str, each: int) -> list[tuple[str, str]]:
-    """About `each` (language, text) rows of every language, chosen by a hash of the id among those that may teach."""
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(teaches)
-    known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    """About `each` (language, text) rows of every one of the most frequent LANGS languages, chosen by a hash of the whole
+    row among those that may teach, so that rows that share an id are not chosen together. A language all of whose texts
+    are long teaches with these all the same, cut to their first SAMPLE_CHARS characters."""
+    known = docs.select(quoted(id_col).alias("id"), F.substring(quoted(text_col), 1, SAMPLE_CHARS).alias("text"), quoted(lang_col).alias("lang")).where(teaches)
+    known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.rlike("text", F.lit(r"\p{L}")))
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()}
     if not counts:
         return []
-    chosen = reduce(lambda a, b: a | b, [(F.col("lang") == lang) & hashed_share("id", each / n) for lang, n in sorted(counts.items())])
-    return [(r["lang"], r["text"]) for r in sorted(known.where(chosen).collect(), key=lambda r: (r["lang"], str(r["id"]), r["text"]))]
+    shares = known.sparkSession.createDataFrame([(lang, each / n) for lang, n in counts.items()], "lang string, share double")
+    span = F.lit(float(1 << 40))
+    drawn = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)) < F.col("share") * span
+    rows = known.join(F.broadcast(shares), "lang").where(drawn).dropDuplicates(["lang", "text"]).collect()
+    return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], str(r["id"]), r["text"]))]
 
 
 _OUT = [
@@ -303,32 +312,33 @@ _OUT = [
 ]
 
 
-def _labelling(shared):
+def _labelling(shared, at: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field: Field = shared.value
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                found = field.label(part.column("text").to_pylist())
+            texts = text_of(batch, "own" if at is not None else "text", at)
+            for a, b in cuts_by_bytes(texts, CHUNK, 1024):
+                found = field.label(texts.slice(a, b - a).to_pylist())
                 shares = [list(zip(field.langs, map(float, x[4]), strict=True)) if x[2] else [] for x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), *(pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64()))), pa.array(shares, pa.map_(pa.string(), pa.float64()))],
-                    names=["id", "lang_pred", "score", "n_words", "switches", "shares"],
+                    [batch.column("own").slice(a, b - a), *(pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64()))), pa.array(shares, pa.map_(pa.string(), pa.float64()))],
+                    names=["own", "lang_pred", "score", "n_words", "switches", "shares"],
                 )
 
     return run
 
 
-def identify(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row of docs: its id, lang_pred, score, n_words, switches (places where the likeliest language of a word
-    changes) and shares (mean probability of each language).
+def identify(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """Each row of docs: its id (with keep, the whole row as struct `row` instead), lang_pred, score, n_words, switches
+    (places where the likeliest language of a word changes) and shares (mean probability of each language).
 
     A null text, or one without a letter, is `und` with score 0 and no shares; so is every text where no row could
-    teach. Equal scores go to the language first in order. Repeated rows each get their result; other columns are not
-    read."""
+    teach. Equal scores go to the language first in order. Repeated rows each get their result, an empty table gives no
+    rows; other columns are not read, but with keep."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_labelling(shared), T.StructType([rows.schema["id"], *_OUT])).withColumnRenamed("id", id_col)
+    rows = docs.select(whole(docs).alias("own")) if keep else docs.select(quoted(id_col).alias("own"), quoted(text_col).alias("text"))
+    found = rows.mapInArrow(_labelling(shared, docs.columns.index(text_col) if keep else None), T.StructType([rows.schema["own"], *_OUT]))
+    return found.withColumnRenamed("own", "row" if keep else id_col)
 
 
 def _held_out(column: str):
@@ -347,10 +357,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that have a language: those without a letter go. A text that switches between languages has one
-    all the same, however small its largest share. Where no row could teach, nothing is judged and all stay."""
+    all the same, however small its largest share. Where no row could teach, nothing is judged and all stay. Repeated
+    rows are judged each; a row goes through the pass once, as one struct."""
     field = _fitted(docs)
     if not field.langs:
         return docs
-    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = identify(packed, field, "row")
-    return found.where(F.col("lang_pred") != UNDETERMINED).select("row.*")
+    found = identify(docs, field, keep=True)
+    return unpacked(found.where(F.col("lang_pred") != UNDETERMINED), docs)

@@ -33,6 +33,40 @@ def test_held_out_accuracy(spark, documents, data):
     assert all(0 <= r["score"] <= 1 for r in found)
 
 
+def test_held_out_rows_and_letters(spark, data, documents):
+    import zlib
+
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    found = langid.op2_langid(spark, data).collect()
+    assert sorted(r["doc_id"] for r in found) == sorted(texts)
+    for r in found:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+        assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in texts[r["doc_id"]] or ""))
+
+
+def test_short_rows_teach():
+    """Languages of three-word rows only."""
+    field = langid.fit([(lang, text) for lang, text in (("a", "the old house"), ("b", "das alte haus")) for _ in range(20)])
+    assert [x[0] for x in field.label(["old house", "das haus", "x", "12"])][:2] == ["a", "b"]
+    assert [x[0] == "und" for x in field.label(["old house", "das haus", "x", "12"])] == [False, False, False, True]
+
+
+def test_labels_as_a_plain_form_gives_them(field):
+    """One word at a time: features summed, then forward-backward over all paths."""
+    text = "the thing and das haus"
+    words = langid.Words(text, field.lexicon)
+    slots, sizes = words.flat()
+    scores = np.array([field.weights[s].sum(axis=0) for s in np.split(slots, np.cumsum(sizes)[:-1])])
+    total = np.zeros_like(scores, dtype=float)
+    for path in itertools.product(range(len(field.langs)), repeat=len(scores)):
+        w = np.exp(sum(float(scores[i, k]) for i, k in enumerate(path)) + sum(float(field.steps[a, b]) for a, b in zip(path, path[1:], strict=False)))
+        for i, k in enumerate(path):
+            total[i, k] += w
+    means = (total / total.sum(axis=1, keepdims=True)).mean(axis=0)
+    (lang, score, n, _, _), = field.label([text])
+    assert n == 5 and lang == field.langs[int(means.argmax())] and abs(score - means.max()) < 1e-4
+
+
 def test_words_of_a_switching_text(field):
     (lang, score, words, switches, _), *_ = field.label(["the thing of and that was with for " * 5 + "der die und ist nicht schung keit zu " * 5])
     assert words == 80 and switches >= 1 and score < 0.9 and lang in field.langs
