@@ -7,22 +7,24 @@ positions. All phrases of the benchmark are searched backwards at once; occurren
 sampled position, and merged into removal spans.
 
 Documents never move: each partition makes its own indexes, so there is no shuffle. The benchmark reaches the
-executors in blocks of at most BLOCK_BYTES of text; a larger benchmark takes more passes over the rows.
+executors in blocks of about BLOCK_BYTES of text, whose windows are held once a worker, in arrays; a larger benchmark
+takes more passes over the rows.
 """
 
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlens.llm.common import table
+from siftlens.llm.common import cuts_by_bytes, quoted, table, text_of, unpacked, whole
 
 #: Words of one window, benchmark text of one pass, bytes of documents in one shard, distance of sampled suffixes.
-WINDOW, BLOCK_BYTES, SHARD_BYTES, SAMPLE = 13, 16 << 20, 6 << 20, 8
+WINDOW, BLOCK_BYTES, SHARD_BYTES, SAMPLE = 13, 8 << 20, 4 << 20, 8
 
 #: Bytes to lower-case word bytes, all else to a space: digits, letters and what is beyond ASCII are word bytes.
 _FOLD = bytes(
@@ -126,12 +128,15 @@ class FMIndex:
         self.sampled, self.kept = keep, order[keep]
         self.kept_before = np.cumsum(keep) - 1
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of patterns of one length, a row each: which occur, and their intervals of suffixes."""
-        alive = np.flatnonzero((patterns < len(self.zero)).all(axis=1))
+    def search(self, row: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of patterns of one length, which begin at `starts` of a row of symbols: which occur, and their intervals of
+        suffixes."""
+        alive = np.arange(len(starts))
         low, high = np.zeros(len(alive), np.int64), np.full(len(alive), self.n, np.int64)
-        for k in range(patterns.shape[1] - 1, -1, -1):
-            symbol = patterns[alive, k]
+        for k in range(length - 1, -1, -1):
+            symbol = row[starts[alive] + k].astype(np.int64)
+            there = symbol < len(self.zero)
+            alive, symbol, low, high = alive[there], symbol[there], low[there], high[there]
             base = self.first[symbol] - self.zero[symbol]
             low, high = base + self.tree.walk(symbol, low), base + self.tree.walk(symbol, high)
             there = low < high
@@ -155,23 +160,56 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of benchmark items: distinct symbol sequences by length, and the items of each."""
+    """The windows of benchmark items, in arrays: all items' words as symbols in a row, where each distinct window of a
+    length begins, and the items that hold it. About 60 bytes a word while it is made."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         self.symbols: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[str]] = {}
+        self.items = sorted({item for item, _ in items})
+        number = {item: k for k, item in enumerate(self.items)}
+        rows, of = [], []
         for item, text in items:
-            ids = tuple(self.symbols.setdefault(w, len(self.symbols) + 1) for w in words_of(text))
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                windows.setdefault(ids[i : i + window], set()).add(item)
-        by_length: dict[int, list[tuple[int, ...]]] = {}
-        for w in windows:
-            by_length.setdefault(len(w), []).append(w)
-        self.groups = [
-            (n, np.array(ws, np.int64).reshape(len(ws), n), [sorted(windows[w]) for w in ws])
-            for n, ws in sorted(by_length.items())
-        ]
-        self.shortest = min(by_length, default=0)
+            words = words_of(text)
+            if words:
+                rows.append(np.fromiter((self.symbols.setdefault(w, len(self.symbols) + 1) for w in words), np.int32, len(words)))
+                of.append(number[item])
+        sizes = np.array([len(r) for r in rows], np.int64)
+        self.row = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        first, lengths = np.cumsum(sizes) - sizes, np.minimum(sizes, window)
+        self.groups = []
+        for length in np.unique(lengths).tolist():
+            own = np.flatnonzero(lengths == length)
+            n = sizes[own] - length + 1
+            starts = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            self.groups.append((length, *self._distinct(starts, np.repeat(np.array(of, np.int32)[own], n), length)))
+        self.shortest = min((g[0] for g in self.groups), default=0)
+
+    def _distinct(self, starts: np.ndarray, items: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where distinct windows begin; the items of all windows, equal windows together; and where each one's begin.
+        Windows are sorted by a hash and told apart by their symbols: those whose hashes collide stay apart."""
+        hashes = np.zeros(len(starts), np.uint64)
+        for k in range(length):
+            hashes = (hashes ^ self.row[starts + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            hashes ^= hashes >> np.uint64(29)
+        order = np.lexsort((items, hashes))
+        starts, items, hashes = starts[order], items[order], hashes[order]
+        fresh = np.ones(len(starts), bool)
+        fresh[1:] = hashes[1:] != hashes[:-1]
+        for k in range(length):
+            fresh[1:] |= self.row[starts[1:] + k] != self.row[starts[:-1] + k]
+        head = np.flatnonzero(fresh)
+        return starts[head], items, np.append(head, len(starts))
+
+
+_phrases: dict[str, Phrases] = {}
+
+
+def _phrases_of(key: str, shared) -> Phrases:
+    """Built once a worker; a worker keeps the last one only."""
+    if key not in _phrases:
+        _phrases.clear()
+        _phrases[key] = Phrases(shared.value)
+    return _phrases[key]
 
 
 def _runs(ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,8 +244,8 @@ def scan_shard(texts: list[str | None], phrases: Phrases) -> list[tuple[int, lis
     index = FMIndex(seq)
     edge = np.zeros(len(ids) + 1, np.int64)
     held: dict[int, set[str]] = {}
-    for length, patterns, items in phrases.groups:
-        which, low, high = index.search(patterns)
+    for length, starts, items, bounds in phrases.groups:
+        which, low, high = index.search(phrases.row, starts, length)
         if not len(which):
             continue
         sizes = high - low
@@ -216,8 +254,13 @@ def scan_shard(texts: list[str | None], phrases: Phrases) -> list[tuple[int, lis
         np.add.at(edge, at, 1)
         np.add.at(edge, at + length, -1)
         doc = np.searchsorted(begins, at, side="right") - 1
-        for pair in np.unique(doc * len(patterns) + np.repeat(which, sizes)).tolist():
-            held.setdefault(pair // len(patterns), set()).update(items[pair % len(patterns)])
+        pair = np.unique(doc * len(starts) + np.repeat(which, sizes))
+        one, n = pair % len(starts), bounds[1:] - bounds[:-1]
+        n = n[one]
+        held_items = items[np.repeat(bounds[one] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        found = np.unique(np.repeat(pair // len(starts), n) * len(phrases.items) + held_items)
+        for d, item in zip((found // len(phrases.items)).tolist(), (found % len(phrases.items)).tolist(), strict=True):
+            held.setdefault(d, set()).add(phrases.items[item])
     hit = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
     turns = np.flatnonzero(hit[1:] != hit[:-1])
     of = np.searchsorted(begins, turns[::2], side="right") - 1
@@ -242,24 +285,20 @@ _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Struc
 _ARROW_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _pass(shared, last: bool):
+def _pass(shared, key: str, at: int | None, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases(shared.value)
+        phrases = _phrases_of(key, shared)
         for batch in batches:
-            texts = batch.column("text")
-            sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-            cuts = [0, *(np.flatnonzero(np.diff(sizes // SHARD_BYTES)) + 1).tolist(), batch.num_rows] if len(sizes) else []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
+            texts = text_of(batch, "own" if at is not None else "text", at)
+            for a, b in cuts_by_bytes(texts, SHARD_BYTES, 1 << 16):
                 part = batch.slice(a, b - a)
-                found = scan_shard(part.column("text").to_pylist(), phrases)
+                found = scan_shard(texts.slice(a, b - a).to_pylist(), phrases)
                 spans, items = [x[1] for x in found], [x[2] for x in found]
                 if "spans" in part.schema.names:
                     old = part.column("spans").to_pylist()
                     spans = [_merged([(s["start"], s["end"]) for s in o], n) for o, n in zip(old, spans, strict=True)]
                     items = [sorted({*o, *n}) for o, n in zip(part.column("items").to_pylist(), items, strict=True)]
-                columns = {"id": part.column("id")} | ({} if last else {"text": part.column("text")})
+                columns = {"own": part.column("own")} | ({} if last or at is not None else {"text": part.column("text")})
                 columns |= {
                     "n_words": pa.array([x[0] for x in found], pa.int64()),
                     "spans": pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], _ARROW_SPANS),
@@ -272,36 +311,45 @@ def _pass(shared, last: bool):
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES,
+    item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, keep: bool = False,
 ) -> DataFrame:
-    """Of each row of docs: its id, n_words, spans (array of start and end in words: what is to be removed) and items
-    (ids, as sorted strings, of the benchmark items that have a window there).
+    """Of each row of docs: its id (with keep, the whole row as struct `row` instead), n_words, spans (array of start and
+    end in words: what is to be removed) and items (ids, as sorted strings, of the benchmark items with a window there).
 
-    Null and empty texts have no words. Repeated rows each get their result. Benchmark rows without id or text take no
-    part, and an empty benchmark hits nothing. Other columns of either table are not read."""
+    Null and empty texts have no words. Repeated rows each get their result. A benchmark row without text takes no part;
+    one without an id is the item `null`, so that its windows still count. An empty benchmark hits nothing, an empty
+    table gives no rows. Other columns of either table are not read, but with keep."""
     spark = docs.sparkSession
-    known = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).dropna()
+    item = F.coalesce(F.col(item_col).cast("string"), F.lit("null"))
+    known = benchmark.select(item.alias("item"), F.col(item_text).alias("text")).where(F.col("text").isNotNull())
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = out.schema["id"].dataType
+    out = docs.select(whole(docs).alias("own")) if keep else docs.select(quoted(id_col).alias("own"), quoted(text_col).alias("text"))
+    own, at = out.schema["own"], docs.columns.index(text_col) if keep else None
     for k in range(blocks):
         rows = known.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
         shared = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in rows])
         last = k == blocks - 1
-        fields = [T.StructField("id", kind), *([] if last else [T.StructField("text", T.StringType())])]
+        fields = [own, *([] if last or keep else [T.StructField("text", T.StringType())])]
         fields += [T.StructField("n_words", T.LongType()), T.StructField("spans", _SPANS), T.StructField("items", T.ArrayType(T.StringType()))]
-        out = out.mapInArrow(_pass(shared, last), T.StructType(fields))
-    return out.withColumnRenamed("id", id_col)
+        out = out.mapInArrow(_pass(shared, uuid.uuid4().hex, at, last), T.StructType(fields))
+    return out.withColumnRenamed("own", "row" if keep else id_col)
+
+
+def _hit() -> Column:
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+
+
+def _contaminated(hit: Column) -> Column:
+    return (hit > 0) & (20 * hit >= F.col("n_words"))
 
 
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns from the operator's."""
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        "doc_id", "n_words", _hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-    ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    ).withColumn("contaminated", _contaminated(F.col("n_hit")))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,9 +357,8 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without those that the benchmark contaminates. The verdicts are joined to the rows within the pass
-    over the text: a document's text is not moved."""
-    columns = docs.columns
-    packed = docs.select(F.struct(*columns).alias("row"), F.col("text"))
-    found = decontaminate(packed.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return digest(found).where(~F.col("contaminated")).select("doc_id.*")
+    """The documents without those that the benchmark contaminates; texts that are null or have no words stay, repeated
+    rows are judged each, and an empty table stays empty. A row goes through the pass once, as one struct: its text is
+    neither shuffled nor sent twice."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=True)
+    return unpacked(found.where(~_contaminated(_hit())), docs)

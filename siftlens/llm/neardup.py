@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlens.llm.common import stored, table
+from siftlens.llm.common import cuts_by_bytes, quoted, stored, table, text_of, unpacked, whole
 
 #: Words of a shingle; bands, and samples in each: a pair at 0.75 is missed with probability (1 - 0.75**4)**32 < 1e-5.
 SHINGLE, BANDS, ROWS = 5, 32, 4
@@ -37,6 +37,8 @@ SKETCH_BITS, MOST_DIFFERENT = 1024, 165
 MARKS = 1 << 24
 #: Rounds in which buckets with several components are joined to their largest, before all pairs across are looked at.
 ROUNDS = 2
+#: Bytes of text whose sets are made at a time, in a worker.
+PASS_BYTES = 1 << 20
 #: Least similarity in hundredths.
 LEAST = 75
 
@@ -130,8 +132,8 @@ def _lists(values: np.ndarray, there: np.ndarray) -> pa.Array:
 def _sign(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for a, b in cuts_by_bytes(batch.column("text"), PASS_BYTES, 256):
+                part = batch.slice(a, b - a)
                 sets = shingle_sets([(t or "").encode() for t in part.column("text").to_pylist()], shingle)
                 there = np.array([len(s) > 0 for s in sets], bool)
                 if there.any():
@@ -160,12 +162,12 @@ def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
     ]
 
 
-def _digested(shingle: int):
-    """Rows with the digests of their texts' sets."""
+def _digested(shingle: int, at: int | None = None):
+    """Rows with the digests of their texts' sets; `at`: the text's field where whole rows are a struct."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets([(t or "").encode() for t in batch.column("text").to_pylist()], shingle)
+            sets = shingle_sets([(t or "").encode() for t in text_of(batch, "text" if at is None else "row", at).to_pylist()], shingle)
             yield pa.RecordBatch.from_arrays([*batch.columns, *_digests(sets)], names=[*batch.schema.names, "n", "d1", "d2"])
 
     return run
@@ -176,8 +178,8 @@ def _sets(shingle: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for a, b in cuts_by_bytes(batch.column("text"), PASS_BYTES, 256):
+                part = batch.slice(a, b - a)
                 sets = shingle_sets([t.encode() for t in part.column("text").to_pylist()], shingle)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
@@ -387,13 +389,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     signed, named, repeats = _grouped(docs.select(F.col("doc_id").alias("id"), "text"), SHINGLE, LEAST)
     gone = stored(_verdicts(signed, named).where(~F.col("kept")).select("id").distinct(), "gone")
     if not repeats:
-        return docs.join(gone, docs["doc_id"] == gone["id"], "left_anti").select(*docs.columns)
+        return docs.join(gone, docs["doc_id"] == gone["id"], "left_anti").select(*map(quoted, docs.columns))
     twice = stored(signed.where(F.col("id").isNotNull()).groupBy("id").count().where("count > 1").select("id"), "twice")
     settled = twice.union(gone).distinct()
-    once = docs.join(settled, docs["doc_id"] == settled["id"], "left_anti").select(*docs.columns)
-    packed = docs.join(twice, docs["doc_id"] == twice["id"], "left_semi").select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"])
-    again = packed.mapInArrow(_digested(SHINGLE), T.StructType([*packed.schema, *_SIGNED[:3]]))
-    again = again.select("row", "n", F.col("row.doc_id").alias("id"), F.xxhash64("n", "d1", "d2").alias("node"))
+    once = docs.join(settled, docs["doc_id"] == settled["id"], "left_anti").select(*map(quoted, docs.columns))
+    packed = docs.join(twice, docs["doc_id"] == twice["id"], "left_semi").select(whole(docs).alias("row"), docs["doc_id"].alias("id"))
+    again = packed.mapInArrow(_digested(SHINGLE, docs.columns.index("text")), T.StructType([*packed.schema, *_SIGNED[:3]]))
+    again = again.select("row", "n", "id", F.xxhash64("n", "d1", "d2").alias("node"))
     keep = named.groupBy("label").agg(F.min(F.struct("id", "node")).alias("keep")).select("keep.*")
     one = again.where("n > 0").join(keep, ["id", "node"], "left_semi").groupBy("id", "node").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    return once.union(one.select("row.*")).union(again.where("n = 0").select("row.*"))
+    return once.union(unpacked(one, docs)).union(unpacked(again.where("n = 0"), docs))

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlens.llm.common import table
+from siftlens.llm.common import table, unpacked, whole
 
 #: Documents in a shard of the index; strings that one stretch of an expression may stand for in a query.
 SHARD_DOCS, MOST_STRINGS = 512, 64
@@ -209,7 +209,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null text counts as empty and has no spans. Repeated rows each get their result; a null id is a key like
     others. Without keep, columns that are not asked for are not read."""
     rules = RULES if rules is None else rules
-    own = [F.col(id_col).alias("id"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept")] if keep else [])]
+    own = [F.col(id_col).alias("id"), *([whole(docs).alias("kept")] if keep else [])]
     rows = docs.select(F.struct(*own).alias("own"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("key"))
     rows = rows.join(candidates(rows.select("key", "text"), rules), "key", "left")
     text, mask = F.col("text"), F.coalesce("mask", F.lit(0))
@@ -257,10 +257,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets replaced by a mark and n_chars kept true; texts without secrets stay."""
+    """All documents, with their secrets replaced by a mark and n_chars kept true; texts without secrets stay as they
+    are, null ones included. Repeated rows are treated each; an empty table stays empty."""
     found = scan_secrets(docs, keep=True)
-    any_, text = F.size("found") > 0, redacted(F.col("kept.text"), F.col("found"))
-    new = {"text": F.when(any_, text).otherwise(F.col("kept.text"))}
+    field = lambda c: F.col(f"kept.c{docs.columns.index(c)}")
+    any_, text = F.size("found") > 0, redacted(field("text"), F.col("found"))
+    new = {"text": F.when(any_, text).otherwise(field("text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(any_, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("kept.n_chars"))
-    return found.select(*[new.get(c, F.col(f"kept.`{c}`")).alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(any_, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(field("n_chars"))
+    return unpacked(found, docs, "kept", **new)

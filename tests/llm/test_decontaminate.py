@@ -38,7 +38,7 @@ def test_suffix_array_and_index():
     index = d.FMIndex(seq)
     for n in (1, 2, 4):
         patterns = rng.integers(1, 4, (20, n))
-        alive, low, high = index.search(patterns)
+        alive, low, high = index.search(patterns.ravel(), np.arange(20) * n, n)
         for p, a, b in zip(alive, low, high, strict=True):
             assert sorted(index.locate(np.arange(a, b))) == [k for k in range(500 - n) if (seq[k : k + n] == patterns[p]).all()]
         for p in set(range(20)) - set(alive.tolist()):
@@ -56,11 +56,24 @@ def test_short_repeated_and_missing(spark, rows, block_bytes):
     items = [(1, "the"), (2, "a b"), (3, ""), (4, " ".join(["a b"] * 10)), (5, "a b"), (6, None), (None, "x")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = d.digest(d.decontaminate(rows(texts), bench, block_bytes=block_bytes))
-    assert sorted(map(tuple, got.collect()), key=repr) == brute(texts, [x for x in items if x[0] is not None])
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(texts, [("null" if i is None else i, t) for i, t in items])
     assert {r["n_hit"] for r in d.digest(d.decontaminate(rows(texts), bench.where("false"))).collect()} == {0}
     assert d.decontaminate(rows(texts).where("false"), bench).count() == 0
 
 
+def test_a_large_benchmark_stays_small(spark):
+    """Windows are arrays: of a million words, well under what as many Python objects would take."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    items = [(str(k), " ".join(map(str, rng.integers(0, 50_000, 2000)))) for k in range(500)]
+    tracemalloc.start()
+    phrases = d.Phrases(items)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert sum(len(g[1]) for g in phrases.groups) > 990_000 and peak < 150e6
+
+
 def test_sql_form(spark, shared, data):
     from siftlens.llm import queries
     from test_oracle import compare
