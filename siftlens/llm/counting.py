@@ -16,23 +16,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlens.llm.common import table
+from siftlens.llm.common import cuts_by_bytes, quoted, released, table
 from siftlens.llm.tokens import vocabulary_path
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Below the lowest score, for a character without a piece.
 PENALTY = 10.0
+#: Bytes of text counted at a time.
+PASS_BYTES = 4 << 20
 #: Words in each of a worker's two generations of memory, and the longest remembered, in characters.
 REMEMBERED, LONGEST = 500_000, 48
 
 
 def pieces_of(path: str) -> list[tuple[str, float]]:
-    """The pieces of a vocabulary file and their scores, taken as unigram scores."""
+    """The pieces of a vocabulary file and their scores, taken as unigram scores. Control, unknown, unused and byte pieces
+    stand for no text and are left out."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(k), model.get_score(k)) for k in range(model.get_piece_size())]
+    no_text = lambda k: model.is_control(k) or model.is_unknown(k) or model.is_unused(k) or model.is_byte(k)
+    return [(model.id_to_piece(k), model.get_score(k)) for k in range(model.get_piece_size()) if not no_text(k)]
 
 
 class Counter:
@@ -44,32 +48,37 @@ class Counter:
             if piece:
                 self.found.add_word(piece, (len(piece), score))
         self.found.make_automaton()
+        self.longest = max((len(piece) for piece, _ in pieces), default=1)
         self.unknown = min((score for _, score in pieces), default=0.0) - PENALTY
         self.known: dict[str, tuple[int, float]] = {}
         self.older: dict[str, tuple[int, float]] = {}
 
     def best(self, word: str) -> tuple[int, float]:
-        """Pieces of the best way to cut a word, and its score."""
-        n = len(word)
-        score, count, loose = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        ending: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, match in self.found.iter(word):
-            ending[end].append(match)
-        for end in range(1, n + 1):
+        """Pieces of the best way to cut a word, and its score. Only as many places are held as the longest piece has
+        characters, so a word may be of any length."""
+        wide = self.longest + 1
+        score, count, loose = [0.0] * wide, [0] * wide, [False] * wide
+        matches = self.found.iter(word)
+        match = next(matches, None)
+        for end in range(1, len(word) + 1):
             top, at, single = None, 0, False
-            for length, own in sorted(ending[end - 1], reverse=True):
+            here = []
+            while match is not None and match[0] == end - 1:
+                here.append(match[1])
+                match = next(matches, None)
+            for length, own in sorted(here, reverse=True):
                 single |= length == 1
-                now = own + score[end - length]
+                now = own + score[(end - length) % wide]
                 if top is None or now > top:
                     top, at = now, end - length
             unknown = False
             if not single:
-                now = self.unknown + score[end - 1]
+                now = self.unknown + score[(end - 1) % wide]
                 if top is None or now > top:
                     top, at, unknown = now, end - 1, True
-            score[end], loose[end] = top, unknown
-            count[end] = count[at] + (0 if unknown and loose[at] else 1)
-        return count[n], score[n]
+            here_count = count[at % wide] + (0 if unknown and loose[at % wide] else 1)
+            score[end % wide], count[end % wide], loose[end % wide] = top, here_count, unknown
+        return count[len(word) % wide], score[len(word) % wide]
 
     def words(self, text: str) -> list[str]:
         """The text with spaces marked and one in front, split before each mark."""
@@ -93,7 +102,7 @@ class Counter:
 
     def _new(self, word: str) -> tuple[int, float]:
         if len(word) > LONGEST:
-            return self.best(SPACE + word)
+            return self.best(SPACE + word)  # not remembered
         if (ids := self.known.get(word)) is None:
             ids = self.older.get(word) or self.best(SPACE + word)
             if len(self.known) > REMEMBERED:
@@ -107,17 +116,19 @@ _counters: dict[int, Counter] = {}
 _OUT = [T.StructField("n_tokens", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("score", T.DoubleType())]
 
 
-def _counting(shared):
+def _counting(shared, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(tuple(shared.value))
         if key not in _counters:
+            _counters.clear()
             _counters[key] = Counter(shared.value)
         counter = _counters[key]
         for batch in batches:
-            tokens, words, score = (list(x) for x in zip(*counter.count(batch.column("text").to_pylist()), strict=True)) if batch.num_rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(tokens, pa.int64()), pa.array(words, pa.int64()), pa.array(score, pa.float64())], names=["id", "n_tokens", "n_words", "score"])
+            for a, b in cuts_by_bytes(batch.column("text"), PASS_BYTES, 4096):
+                part = batch.slice(a, b - a)
+                tokens, words, score = map(list, zip(*counter.count(part.column("text").to_pylist()), strict=True))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(tokens, pa.int64()), pa.array(words, pa.int64()), pa.array(score, pa.float64())], names=["id", "n_tokens", "n_words", "score"])
 
-    return run
+    return released(run)
 
 
 def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,8 +137,8 @@ def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]], id_col: str =
     A null or empty text has none of either and score 0. Repeated rows each get the same result; other columns are not
     read."""
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_counting(shared), T.StructType([rows.schema["id"], *_OUT])).withColumnRenamed("id", id_col)
+    rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
+    return rows.mapInArrow(_counting(shared, hash(tuple(pieces))), T.StructType([rows.schema["id"], *_OUT])).withColumnRenamed("id", id_col)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
