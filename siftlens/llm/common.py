@@ -1,7 +1,9 @@
 """What the operators of this subpackage share: reading, lineage cuts, whole rows as one column, bounded driver reads."""
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -84,6 +86,20 @@ def cuts_by_bytes(texts: pa.Array, most: int, rows: int) -> list[tuple[int, int]
     return [*out, (start, len(sizes))] if sizes else []
 
 
+def released(run: Callable) -> Callable:
+    """A function over batches that gives free memory back to the system at its end, as a worker lives on."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return runs
+
+
 def hashed_share(column, share: float):
     """True for a deterministic share of rows, chosen by a hash of the column."""
     span = 1 << 40

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlens.llm.common import cuts_by_bytes, quoted, table, text_of, unpacked, whole
+from siftlens.llm.common import cuts_by_bytes, quoted, released, table, text_of, unpacked, whole
 
 #: Words of one window, benchmark text of one pass, bytes of documents in one shard, distance of sampled suffixes.
 WINDOW, BLOCK_BYTES, SHARD_BYTES, SAMPLE = 13, 8 << 20, 4 << 20, 8
@@ -306,7 +306,7 @@ def _pass(shared, key: str, at: int | None, last: bool):
                 }
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return run
+    return released(run)
 
 
 def decontaminate(

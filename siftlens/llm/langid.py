@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlens.llm.common import cuts_by_bytes, quoted, table, text_of, unpacked, whole
+from siftlens.llm.common import cuts_by_bytes, quoted, released, table, text_of, unpacked, whole
 
 #: Expected documents of each language in the sample, how much of a text is taken for it in characters, and the most
 #: languages that are learned: together the bound of what the driver fits on.
 SAMPLE_DOCS, SAMPLE_CHARS, LANGS = 300, 20_000, 200
-#: Rows of the weight table; frequent words of each language in the lexicon; characters worked on at a time.
-SLOTS, LEXICON, CHUNK = 1 << 17, 2_000, 1 << 20
+#: Rows of the weight table; frequent words of each language in the lexicon; characters whose features are
+#: made at a time; bytes of texts whose words are labelled in step.
+SLOTS, LEXICON, CHUNK, BATCH_BYTES = 1 << 17, 2_000, 1 << 18, 4 << 20
 UNDETERMINED = "und"
 
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -317,7 +318,7 @@ def _labelling(shared, at: int | None):
         field: Field = shared.value
         for batch in batches:
             texts = text_of(batch, "own" if at is not None else "text", at)
-            for a, b in cuts_by_bytes(texts, CHUNK, 1024):
+            for a, b in cuts_by_bytes(texts, BATCH_BYTES, 4096):
                 found = field.label(texts.slice(a, b - a).to_pylist())
                 shares = [list(zip(field.langs, map(float, x[4]), strict=True)) if x[2] else [] for x in found]
                 yield pa.RecordBatch.from_arrays(
@@ -325,7 +326,7 @@ def _labelling(shared, at: int | None):
                     names=["own", "lang_pred", "score", "n_words", "switches", "shares"],
                 )
 
-    return run
+    return released(run)
 
 
 def identify(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlens.llm.common import cuts_by_bytes, quoted, stored, table, text_of, unpacked, whole
+from siftlens.llm.common import cuts_by_bytes, quoted, released, stored, table, text_of, unpacked, whole
 
 #: Words of a shingle; bands, and samples in each: a pair at 0.75 is missed with probability (1 - 0.75**4)**32 < 1e-5.
 SHINGLE, BANDS, ROWS = 5, 32, 4
@@ -150,7 +150,7 @@ def _sign(shingle: int):
                     names=["id", "n", "d1", "d2", "sketch", "bands"],
                 )
 
-    return run
+    return released(run)
 
 
 def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
@@ -170,7 +170,7 @@ def _digested(shingle: int, at: int | None = None):
             sets = shingle_sets([(t or "").encode() for t in text_of(batch, "text" if at is None else "row", at).to_pylist()], shingle)
             yield pa.RecordBatch.from_arrays([*batch.columns, *_digests(sets)], names=[*batch.schema.names, "n", "d1", "d2"])
 
-    return run
+    return released(run)
 
 
 def _sets(shingle: int):
@@ -185,7 +185,7 @@ def _sets(shingle: int):
                 values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("node"), values], names=["node", "shingles"])
 
-    return run
+    return released(run)
 
 
 def _confirm(shingle: int, least: int):
@@ -205,7 +205,7 @@ def _confirm(shingle: int, least: int):
             keep = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    return run
+    return released(run)
 
 
 def _different(a: str, b: str) -> Column:

@@ -7,7 +7,7 @@ pair and triple sums of the available lengths; a combination that fills a gap ex
 counts allow. What is left is packed best-fit, again by counts.
 
 A piece then finds its sequence by its rank among the pieces of its length. Ranks are taken within salted shares of
-each length and shifted by the shares' sizes, so a length that a third of all pieces have is dealt over many tasks.
+each length, as many as the most frequent length asks for, and shifted by the shares' sizes; full pieces need no rank.
 """
 
 from bisect import bisect_left, insort
@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlens.llm.common import stored, table
-from siftlens.llm.tokens import crc_of, encoder, vocabulary_path
+from siftlens.llm.common import cuts_by_bytes, quoted, released, stored, table
+from siftlens.llm.tokens import REMEMBERED, crc_of, encoder, vocabulary_path
 
-CAPACITY, END, SALTS = 1024, 2, 64
+CAPACITY, END = 1024, 2
+#: Bytes of text encoded at a time; pieces of one length that a task ranks; stretches that a worker of the pipeline remembers.
+PASS_BYTES, SHARE, STAGE_REMEMBERED = 2 << 20, 200_000, 100_000
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -122,12 +124,12 @@ def _best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ..
 _PIECES = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.IntegerType()), T.StructField("ids_crc32", T.LongType())])
 
 
-def _pieces(path: str, capacity: int, end: int):
+def _pieces(path: str, capacity: int, end: int, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(path, True)
+        tokens = encoder(path, True, remembered)
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for a, b in cuts_by_bytes(batch.column("text"), PASS_BYTES, 512):
+                part = batch.slice(a, b - a)
                 rows: list[tuple[int, int, int, int, int]] = []
                 for k, ids in enumerate(tokens.encode(part.column("text").to_pylist())):
                     ids = np.append(ids, np.uint32(end)).astype("<u4")
@@ -140,7 +142,7 @@ def _pieces(path: str, capacity: int, end: int):
                     names=["id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return run
+    return released(run)
 
 
 def _lookup(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -177,31 +179,37 @@ def _placing(shared):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of all rows of docs, packed: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is a document of the end id alone. Repeated rows are packed each; a null id is kept. Only
     documents longer than the capacity are cut: into full pieces, the first of which may be shorter. An empty table
-    gives no rows."""
+    gives no rows. `remembered`: stretches that a worker's tokenizer keeps.
+
+    Full pieces are sequences of their own: they are numbered as they come, below zero, without a shuffle. Pieces of
+    other lengths are dealt over as many shares as their number asks for, and ranked within."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
     schema = T.StructType([rows.schema["id"], *_PIECES.fields])
-    pieces = stored(rows.mapInArrow(_pieces(vocabulary, capacity, end), schema), "pieces")
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    # Full pieces are sequences of their own; they need no rank among their like but must be told apart.
-    shares = pieces.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()  # at most capacity x SALTS rows
-    histogram: dict[int, int] = {}
-    before: list[tuple[int, int, int]] = []
-    for length, salt, n in sorted(tuple(r) for r in shares):
-        before.append((length, salt, histogram.get(length, 0)))
-        histogram[length] = histogram.get(length, 0) + n
+    pieces = stored(rows.mapInArrow(_pieces(vocabulary, capacity, end, remembered), schema), "pieces")
+    columns = ["id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32"]
+    full = pieces.where(F.col("length") == capacity)
+    full = full.select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = pieces.where(F.col("length") < capacity)
+    histogram = {r["length"]: r["count"] for r in rest.groupBy("length").count().collect()}  # at most capacity rows
+    salts = max(8, -(-max(histogram.values(), default=0) // SHARE))
+    rest = rest.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32", "start"), F.lit(salts)).cast("int"))
+    # Shares of a length follow each other: where each begins among its like. A length has few shares but for a table of
+    # very many pieces, and then there are capacity x salts rows, which stay a table.
+    order = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = stored(rest.groupBy("length", "salt").agg(F.count("*").alias("n")), "shares")
+    shifts = shifts.select("length", "salt", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("shift"))
     slots = spark.sparkContext.broadcast(_lookup(plan_packing(histogram, capacity)))
-    shifts = spark.createDataFrame(before, "length int, salt int, shift long")
-    order = Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32", "start")
-    ranked = pieces.withColumn("rank", F.row_number().over(order)).join(F.broadcast(shifts), ["length", "salt"])
-    ranked = ranked.select("id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", (F.col("rank") - 1 + F.col("shift")).alias("rank"))
+    within = Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32", "start")
+    ranked = rest.withColumn("rank", F.row_number().over(within)).join(shifts, ["length", "salt"])
+    ranked = ranked.select(*columns, (F.col("rank") - 1 + F.col("shift")).alias("rank"))
     out = T.StructType([x for x in ranked.schema.fields if x.name != "rank"] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.mapInArrow(_placing(slots), out).withColumnRenamed("id", id_col)
+    return ranked.mapInArrow(_placing(slots), out).union(full).withColumnRenamed("id", id_col)
 
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,5 +217,7 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: all documents that are left, packed into sequences."""
-    return pack(docs, vocabulary_path(VOCABULARY))
+    """The last stage: all documents that are left, packed into sequences. Null and empty texts are the end id alone,
+    repeated rows are packed each, and an empty table gives no rows. Its workers remember less than the query's, as
+    they hold other stages' memory too."""
+    return pack(docs, vocabulary_path(VOCABULARY), remembered=STAGE_REMEMBERED)

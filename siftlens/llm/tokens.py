@@ -31,13 +31,13 @@ class Encoder:
     """Ids of texts. spaces: whether a stretch keeps the space before it (byte-level vocabularies) or white space is
     dropped by the vocabulary."""
 
-    def __init__(self, path: str, spaces: bool):
+    def __init__(self, path: str, spaces: bool, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.spaces = spaces
+        self.spaces, self.remembered = spaces, remembered
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -68,7 +68,7 @@ class Encoder:
         return found
 
     def _remember(self, found: dict[str, bytes]) -> None:
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.older, self.known = self.known, {}
         self.known.update((x, ids) for x, ids in found.items() if len(x) <= LONGEST)
 
@@ -87,17 +87,18 @@ class Encoder:
         return [np.frombuffer(b"".join(found), "<u4") for found in looked]
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool, int], Encoder] = {}
 
 
-def encoder(path: str, spaces: bool) -> Encoder:
-    """One for each worker process and vocabulary."""
-    key = (path, spaces)
+def encoder(path: str, spaces: bool, remembered: int = REMEMBERED) -> Encoder:
+    """One for each worker process: the last that was asked for."""
+    key = (path, spaces, remembered)
     if key not in _encoders:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[key] = Encoder(path, spaces)
+        _encoders.clear()
+        _encoders[key] = Encoder(path, spaces, remembered)
     return _encoders[key]
 
 
