@@ -4,16 +4,17 @@ Every text's words give rolling k-grams (k = 2), one row each; these are joined
 k-grams, and compared as words. A hit at word p of a text and word q of a template votes for the diagonal p - q: where
 the template would begin. Votes are gathered for each diagonal as a set of template places (repeated rows vote once).
 A phrase stands where a diagonal has all its votes; of a longer notice, neighbouring diagonals are merged, which
-bridges words left out or put in, and the merged votes must cover enough of the notice.
+bridges words left out or put in, and the span is verified: the longest chain of votes that rises in the text and in the
+notice alike must cover enough of the notice.
 
-The templates are a small fixed table and are broadcast; votes are gathered within a document, so no key is shared by
-many documents.
+The templates are a table of checked size and are broadcast; votes are gathered within a document, so no key is shared
+by many documents.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftlens.llm.common import stored, table
+from siftlens.llm.common import quoted, stored, table
 
 # The phrases and labels of the contract.
 PHRASES = [
@@ -35,8 +36,9 @@ NOTICES = [
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 ]
 
-#: Diagonals this near are merged; the share of a notice's k-grams that merged votes must cover.
-NEAR, COVER = 3, 0.6
+#: Diagonals this near are merged; the share of a notice's k-grams that a span must hold in order; k-grams of templates
+#: that are broadcast, beyond which the join is left to the planner.
+NEAR, COVER, MOST_GRAMS = 3, 0.6, 200_000
 
 #: The Kelvin sign lower-cases to an ASCII letter, but only A-Z may; it becomes another letter first.
 _KELVIN = "\u212a"
@@ -47,44 +49,64 @@ def _low(text: Column) -> Column:
     return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit(_KELVIN), F.lit("æ")))
 
 
-def _templates(spark: SparkSession, templates: list[tuple[str, str]], phrases: int) -> DataFrame:
-    """One row for each k-gram: template, its label, place, and how many it has. At most 62 of them, as bits."""
+def _templates(spark: SparkSession, templates: list[tuple[str, str]], phrases: int, k: int) -> tuple[DataFrame, int]:
+    """One row for each k-gram: template, its label, place, and how many it has; and the number of rows."""
     rows = []
     for n, (words, label) in enumerate(templates):
         split = words.split()
-        assert 2 <= len(split) <= 63
-        rows += [(f"{a} {b}", n, label, n < phrases, k, 1 << k, len(split) - 1) for k, (a, b) in enumerate(zip(split, split[1:], strict=False))]
-    return spark.createDataFrame(rows, "gram string, template int, label string, phrase boolean, place int, bit long, size int")
+        grams = [" ".join(split[i : i + k]) for i in range(len(split) - k + 1)]
+        rows += [(gram, n, label, n < phrases, place, len(grams)) for place, gram in enumerate(grams)]
+    return spark.createDataFrame(rows, "gram string, template int, label string, phrase boolean, place int, size int"), len(rows)
+
+
+def _chain(hits: Column) -> Column:
+    """Of hits (at, place), the length of the longest chain in which both rise: what of a template stands in the text in
+    its order. The array holds the smallest place that ends a chain of each length."""
+
+    def step(tails: Column, place: Column) -> Column:
+        n = F.size(F.filter(tails, lambda t: t < place))
+        return F.concat(F.slice(tails, F.lit(1), n), F.array(place), F.slice(tails, n + 2, F.size(tails)))
+
+    ordered = F.array_sort(F.transform(hits, lambda h: F.struct(h["at"].alias("at"), (-h["place"]).alias("back"))))
+    return F.size(F.aggregate(F.transform(ordered, lambda h: -h["back"]), F.array().cast("array<int>"), step))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: list[tuple[str, str]] | None = None, notices: list[tuple[str, str]] | None = None) -> DataFrame:
     """Each row of docs: its id, n_words, places (ordered structs of start and label: where phrases stand, in words
-    from 0), notices (structs of label, start and cover: the best merged stretch for each label) and score (1 with a
-    phrase, else the best cover, else 0).
+    from 0), notices (structs of label, start, end and cover: the best verified span for each label, in words, end
+    exclusive) and score (1 with a phrase, else the best cover, else 0).
 
-    A null text counts as empty: no words, no places. Repeated rows each get the same result; rows that share an id are
+    Templates are lower-case words between spaces, of any number; k is 2, or 1 where some template has one word only. A
+    null text counts as empty: no words, no places. Repeated rows each get the same result; rows that share an id are
     told apart by their texts. A null id is a value like others. Other columns are not read."""
     spark = docs.sparkSession
     phrases, notices = PHRASES if phrases is None else phrases, NOTICES if notices is None else notices
-    known = F.broadcast(_templates(spark, phrases + notices, len(phrases)).withColumn("hash", F.xxhash64("gram")))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("th"), F.col(text_col).alias("text"))
+    k = min([2, *(len(words.split()) for words, _ in phrases + notices)])
+    known, size = _templates(spark, phrases + notices, len(phrases), k)
+    known = known.withColumn("hash", F.xxhash64("gram"))
+    known = F.broadcast(known) if size <= MOST_GRAMS else known
+    rows = docs.select(quoted(id_col).alias("id"), F.coalesce(F.xxhash64(quoted(text_col)), F.lit(0)).alias("th"), quoted(text_col).alias("text"))
     words = rows.select("id", "th", F.regexp_extract_all(_low(F.col("text")), F.lit(_WORD), F.lit(0)).alias("w"))
     n = F.size("w") - 1
-    pairs = F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
-    grams = words.where(F.size("w") > 1).select("id", "th", F.posexplode(pairs).alias("at", "gram")).withColumn("hash", F.xxhash64("gram"))
+    grams = F.col("w") if k == 1 else F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+    grams = words.where(F.size("w") >= k).select("id", "th", F.posexplode(grams).alias("at", "gram")).withColumn("hash", F.xxhash64("gram"))
     hits = grams.join(known, "hash").where(grams["gram"] == known["gram"])
-    votes = hits.groupBy("id", "th", "template", "label", "phrase", "size", (F.col("at") - F.col("place")).alias("start")).agg(F.bit_or("bit").alias("votes"))
+    votes = hits.groupBy("id", "th", "template", "label", "phrase", "size", (F.col("at") - F.col("place")).alias("start")).agg(F.collect_set("place").alias("votes"))
     votes = stored(votes, "votes")  # small, and read twice
-    full = votes.where(F.col("phrase") & (F.bit_count("votes") == F.col("size")))
+    # A diagonal with all its votes has the phrase's words, which were compared, one after another.
+    full = votes.where(F.col("phrase") & (F.size("votes") == F.col("size")))
     exact = full.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), "label"))).alias("places"))
-    # Notices: sessions of near diagonals.
+    # Notices: sessions of near diagonals, whose votes are verified as one chain.
     order = Window.partitionBy("id", "th", "template").orderBy("start")
-    some = votes.where(~F.col("phrase") & (F.bit_count("votes") >= 2))
+    some = votes.where(~F.col("phrase") & (F.size("votes") >= 2))
     some = some.withColumn("fresh", F.when(F.col("start") - F.lag("start").over(order) <= NEAR, 0).otherwise(1)).withColumn("group", F.sum("fresh").over(order))
-    merged = some.groupBy("id", "th", "template", "label", "size", "group").agg(F.min("start").alias("start"), F.bit_or("votes").alias("votes"))
-    merged = merged.withColumn("cover", F.bit_count("votes") / F.col("size")).where(F.col("cover") >= COVER)
-    best = merged.groupBy("id", "th", "label").agg(F.max(F.struct("cover", (-F.col("start")).alias("back"))).alias("top"))
-    noted = best.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("label", F.greatest(-F.col("top.back"), F.lit(0)).cast("long").alias("start"), F.col("top.cover").alias("cover")))).alias("notices"))
+    spots = F.transform("votes", lambda v: F.struct((F.col("start") + v).alias("at"), v.alias("place")))
+    merged = some.groupBy("id", "th", "template", "label", "size", "group").agg(F.flatten(F.collect_list(spots)).alias("hits"))
+    merged = merged.where(F.size(F.array_distinct(F.transform("hits", lambda h: h["place"]))) / F.col("size") >= COVER)
+    merged = merged.withColumn("cover", _chain(F.col("hits")) / F.col("size")).where(F.col("cover") >= COVER)
+    first, last = F.array_min(F.transform("hits", lambda h: h["at"])), F.array_max(F.transform("hits", lambda h: h["at"])) + k
+    best = merged.groupBy("id", "th", "label").agg(F.max(F.struct("cover", (-first).alias("back"), last.alias("end"))).alias("top"))
+    noted = best.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("label", (-F.col("top.back")).cast("long").alias("start"), F.col("top.end").cast("long").alias("end"), F.col("top.cover").alias("cover")))).alias("notices"))
     out = rows.select("id", "th", F.regexp_count(_low(F.col("text")), F.lit(_WORD)).cast("long").alias("n_words"))
     for part in (exact, noted):
         part = part.withColumnsRenamed({"id": "part_id", "th": "part_th"})
@@ -93,7 +115,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(
         F.col("id").alias(id_col), "n_words",
         F.coalesce("places", F.array().cast("array<struct<start:bigint,label:string>>")).alias("places"),
-        F.coalesce("notices", F.array().cast("array<struct<label:string,start:bigint,cover:double>>")).alias("notices"),
+        F.coalesce("notices", F.array().cast("array<struct<label:string,start:bigint,end:bigint,cover:double>>")).alias("notices"),
         F.when(F.col("places").isNotNull(), F.lit(1.0)).otherwise(cover).alias("score"),
     )
 

@@ -37,3 +37,15 @@ def test_notices_with_words_left_out_and_put_in(rows):
     found = {r["doc_id"]: r for r in d.digest(d.scan_licenses(rows([(1, text), (2, "free of charge to any person")]))).collect()}
     assert found[1]["labels"] == "mit" and 0.6 <= found[1]["score"] < 1 and found[1]["n_base"] == 0
     assert found[2]["labels"] == "" and found[2]["score"] == 0
+
+
+def test_spans_are_verified_in_order(rows):
+    """The words of a notice in another order, though on near diagonals, are no notice; long and one-word templates work."""
+    long_ = [f"w{k}" for k in range(400)]
+    swapped = [w for k in range(0, 400, 4) for w in (long_[k + 2], long_[k + 3], long_[k], long_[k + 1])]
+    texts = [(1, "x " + " ".join(long_[:150] + long_[152:]) + " y"), (2, " ".join(swapped)), (3, "solo flight"), (4, " ".join(reversed(long_)))]
+    found = {r["doc_id"]: r for r in d.scan_licenses(rows(texts), notices=[(" ".join(long_), "long")]).collect()}
+    assert [(n["start"], n["end"]) for n in found[1]["notices"]] == [(1, 399)] and found[1]["score"] == (399 - 3) / 399
+    assert not found[2]["notices"] and not found[4]["notices"]
+    one = {r["doc_id"]: r for r in d.scan_licenses(rows(texts), phrases=[("solo", "s"), ("w3 w0", "p")], notices=[(" ".join(long_), "long")]).collect()}
+    assert [tuple(p) for p in one[3]["places"]] == [(0, "s")] and [tuple(p) for p in one[2]["places"]] == [(1, "p")] and one[1]["notices"]
