@@ -7,9 +7,10 @@
 3. In each band bucket all members are paired with its smallest id; sketches reject pairs that are clearly below the
    threshold, and each member's most promising partner is confirmed on the full sets. The links give first components.
 4. Buckets that still hold several components: in some rounds all others are paired with a member of the largest, again
-   one confirmation a member. Then such buckets are joined with themselves, with the whole sets of their members: every
-   pair across components that the sketches let through is confirmed within the join, in the first band it shares. A pair within one component can add nothing. So
-   no pair that meets in a band is left out, yet a group of n near copies costs about n confirmations, not n * n.
+   one confirmation a member. Then the pairs across components of buckets of at most HOT members are looked at within a
+   join, in the first band they share; those of larger buckets are found by the rarest shingles of their members' sets,
+   of which two similar sets must share one. A pair within one component can add nothing. So no pair that meets in a
+   band is left out, yet a group of n near copies, or of n texts around a common passage, costs far less than n * n.
 5. Final components by hooking and pointer jumping over the links.
 
 Bands, links and labels stay tables; the driver sees counts only.
@@ -35,6 +36,8 @@ SAMPLES = 2 * BANDS * ROWS
 SKETCH_BITS, MOST_DIFFERENT = 1024, 165
 #: Bits of the bitmap of ids whose texts are needed again: 2 MB.
 MARKS = 1 << 24
+#: Members of a bucket beyond which its pairs are found by their rarest shingles.
+HOT = 64
 #: Rounds in which buckets with several components are joined to their largest, before all pairs across are looked at.
 ROUNDS = 2
 #: Bytes of text whose sets are made at a time, in a worker.
@@ -318,17 +321,54 @@ def _labels(nodes: DataFrame, rows: DataFrame, repeats: bool, shingle: int, leas
         labels, moved = _joined(labels, pairs, texts, shingle, least)
         if not moved:
             break
-    # All that still meets in a bucket across components: with its whole set, so that only links leave the join.
+    # All that still meets in a bucket across components, with its whole set, so that only links leave a join.
     left = stored(_mixed_buckets(hits, labels), "left")
+    sizes = stored(left.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("key"), "hot_keys")
     sets = texts.join(left.select("node").distinct(), "node", "left_semi").mapInArrow(_sets(shingle), "node long, shingles array<long>")
+    sets = stored(sets, "sets")
+    across = _within(left.join(sizes, "key", "left_anti"), nodes, sets, least)
+    if sizes.limit(1).count():
+        across = across.union(_by_rare(left.join(sizes, "key", "left_semi").select("node", "label").distinct(), slim, sets, least))
+    return _merged(labels, across)[0]
+
+
+def _linked(least: int) -> Column:
+    """Whether the pair of a row is similar enough: sizes and sketches first, then the whole sets."""
+    common = F.size(F.array_intersect("a_shingles", "b_shingles")).cast("long")
+    return F.when((F.col("a_label") != F.col("b_label")) & _near(least), 100 * common >= least * (F.col("a_n") + F.col("b_n") - common))
+
+
+def _within(left: DataFrame, nodes: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """Links between labels within buckets of HOT members at most: every pair, in the first band it shares."""
     open_ = stored(left.join(nodes.select("node", "n", "sketch", "bands"), "node").join(sets, "node"), "open")
     one = lambda x: open_.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "label", "n", "sketch", "bands", "shingles")))
     same = F.filter(F.arrays_zip("a_bands", "b_bands"), lambda x: x["a_bands"] == x["b_bands"])
-    common = F.size(F.array_intersect("a_shingles", "b_shingles")).cast("long")
-    linked = 100 * common >= least * (F.col("a_n") + F.col("b_n") - common)
-    fits = F.when((F.col("a_label") != F.col("b_label")) & _near(least), F.when(same[0]["a_bands"] == F.col("key"), linked))
+    fits = F.when(same[0]["a_bands"] == F.col("key"), _linked(least))
     across = one("a").join(one("b"), "key").where((F.col("a_node") < F.col("b_node")) & fits)
-    return _merged(labels, across.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))[0]
+    return across.select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+
+
+def _by_rare(members: DataFrame, slim: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """Links between labels among the members of large buckets, without pairing these: two sets that are similar enough
+    share one of their rarest shingles. Of a set of n, ordered by how many members hold a shingle, the first
+    n - ceil(least * n / 100) + 1 hold a common one with any partner; where large buckets come from a common passage, the
+    rarest shingles are what the texts do not share, and hardly any pair meets."""
+    own = stored(members.join(sets, "node"), "hot_sets")
+    each = own.select("node", F.explode("shingles").alias("shingle"))
+    held = stored(each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1"), "held")
+    # A shingle that one member alone holds comes first in its order and can be no partner's: only its number counts.
+    ranked = each.join(held, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "shingle"))).alias("common"))
+    ranked = ranked.join(slim, "node").join(members, "node")
+    alone = F.col("n") - F.size("common")
+    prefix = F.col("n") - F.ceil(F.lit(least) * F.col("n") / 100) + 1
+    ranked = ranked.withColumn("take", F.greatest(F.lit(0), prefix - alone).cast("int"))
+    meets = stored(ranked.select("node", "label", "n", "sketch", F.explode(F.slice("common", F.lit(1), F.col("take"))).alias("x")).select("*", F.col("x.shingle").alias("shingle")).drop("x"), "meets")
+    one = lambda x: meets.select("shingle", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "label", "n", "sketch")))
+    pairs = one("a").join(one("b"), "shingle").where((F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & _near(least))
+    pairs = stored(pairs.drop("shingle").dropDuplicates(["a_node", "b_node"]), "rare_pairs")
+    side = lambda x: sets.select(F.col("node").alias(f"{x}_node"), F.col("shingles").alias(f"{x}_shingles"))
+    both = pairs.join(side("a"), "a_node").join(side("b"), "b_node").where(_linked(least))
+    return both.select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
 
 
 def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -91,3 +91,16 @@ def test_sketches_estimate_similarity(share):
         sets = [np.unique(np.concatenate([both, rng.integers(1, 1 << 63, n - len(both), dtype=np.uint64)])) for _ in range(2)]
         _, sketch = d.signatures(sets)
         assert int(np.bitwise_count((sketch[0] ^ sketch[1]).view(np.uint64)).sum()) <= d.MOST_DIFFERENT
+
+
+def test_a_large_bucket_of_a_common_passage(spark, shared, monkeypatch):
+    """Texts that share half of their words with all others, with some real links among them."""
+    monkeypatch.setattr(d, "HOT", 8)
+    monkeypatch.setattr(d, "ROUNDS", 0)
+    passage = " ".join(f"p{k}" for k in range(60))
+    own = lambda k: [f"o{k}x{j}" for j in range(30)]
+    texts = [(k, passage + " " + " ".join(own(k))) for k in range(600)]
+    texts += [(1000 + k, passage + " " + " ".join(own(k)[:-4] + [f"z{k}"])) for k in range(0, 600, 50)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in d.near_duplicates(df).collect()}
+    assert found == {i: i - 1000 if i >= 1000 else i for i, _ in texts}
