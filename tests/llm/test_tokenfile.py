@@ -22,7 +22,7 @@ def check(found, texts):
     assert sorted(map(tuple, found.collect()), key=lambda r: r[1]) == stated
 
 
-@pytest.mark.parametrize("ids", [[], [5], [7] * 5000, [1, 2, 3, 40000] * 3000, "uniform", "skewed"])
+@pytest.mark.parametrize("ids", [[], [5], [7] * 5000, [1, 2, 3, 40000] * 3000, [1 << 31, 5], "uniform", "skewed"])
 def test_round_trip(ids):
     rng = np.random.default_rng(0)
     ids = np.array({"uniform": rng.integers(0, 65536, 9000), "skewed": rng.zipf(1.3, 30000) % 49408}.get(ids, ids) if isinstance(ids, str) else ids, "<u4")
@@ -41,8 +41,25 @@ def test_faults_are_found():
         d.expand(bytes(data))
     with pytest.raises(ValueError, match="not a segment"):
         d.expand(b"junk" + bytes(20))
-    with pytest.raises(ValueError, match="below"):
-        d.compress(np.array([1 << 16], "<u4"))
+
+
+def test_blocks_are_independent_and_lanes_bounded(monkeypatch):
+    """The same bytes whatever is coded in step, and a block's bytes alone give its ids."""
+    ids = (np.random.default_rng(1).zipf(1.4, 30_000) % 5000).astype("<u4")
+    data = d.compress(ids)
+    monkeypatch.setattr(d, "LANES", 3)
+    assert d.compress(ids) == data and (d.expand(data) == ids).all()
+
+
+def test_fewer_bits_than_order_0(texts):
+    """Against the entropy of the ids of all supplied documents, and against zlib on the same blocks."""
+    from siftlens.llm.tokens import Encoder
+
+    ids = np.concatenate([np.append(x, 2) for x in Encoder(vocabulary_path(d.VOCABULARY), False).encode([t for _, t in texts])]).astype("<u4")
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    bits = 8 * len(d.compress(ids)) / len(ids)
+    packed = sum(len(zlib.compress(ids[k : k + d.BLOCK].astype("<u2").tobytes(), 9)) for k in range(0, len(ids), d.BLOCK))
+    assert bits < -(share * np.log2(share)).sum() and bits < 0.85 * 8 * packed / len(ids)
 
 
 def test_supplied_documents(spark, shared, data, texts):
