@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as the next
 one's docs. All but the last return the columns of documents.
+
+Rows with null or empty texts have no letter and go with the language stage, unless no row could teach a language;
+repeated rows are copies, of which near_dedup keeps one; an empty table gives no rows.
 """
 
 from pyspark.sql import DataFrame, SparkSession
