@@ -1,7 +1,7 @@
 """As-of joins: interpolation between fixes, nearest values, clock drift.
 
 All put probes and fixes into one table, ordered by key and time with fixes before probes, and fill from both sides: one
-shuffle by key, one sort, no range join.
+shuffle by key, a sort either way, no range join, and work in proportion to the rows of a key.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,10 +16,12 @@ def _bracketed(probes: DataFrame, fixes: DataFrame, keys: list[str], time: str,
     a = probes.select(*keys, time, *carry, *[F.lit(None).cast(fixes.schema[v].dataType).alias(v) for v in values], F.lit(1).alias("is_probe"))
     b = fixes.select(*keys, time, *[F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in carry], *values, F.lit(0).alias("is_probe"))
     fix = F.when(F.col("is_probe") == 0, F.struct(F.col(time).alias("t"), *values))
-    order = Window.partitionBy(*keys).orderBy(time, "is_probe", *(carry[:1]))
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1, Window.unboundedFollowing)
+    by = [time, "is_probe", *carry[:1]]
+    # Both frames begin at the partition's start, so each is carried along: what lies ahead is looked at backwards.
+    back = Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys).orderBy(*map(F.desc, by)).rowsBetween(Window.unboundedPreceding, -1)
     both = b.unionByName(a).withColumn("fix", fix)
-    both = both.withColumn("f0", F.last("fix", ignorenulls=True).over(back)).withColumn("f1", F.first("fix", ignorenulls=True).over(ahead))
+    both = both.withColumn("f0", F.last("fix", ignorenulls=True).over(back)).withColumn("f1", F.last("fix", ignorenulls=True).over(ahead))
     return both.where("is_probe = 1").select(*keys, time, *carry, "f0", "f1")
 
 
@@ -52,10 +54,10 @@ def interpolate(probes: DataFrame, fixes: DataFrame, keys: list[str], time: str,
 
 def nearest(df: DataFrame, value: str, keys: list[str], time: str, *ties: str, within: float = WITHIN) -> Column:
     """The closest value that is not null, before or after, at most `within` away; the earlier of two equally near."""
-    order = Window.partitionBy(*keys).orderBy(time, *ties)
+    back_to = Window.partitionBy(*keys).orderBy(time, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    from_end = Window.partitionBy(*keys).orderBy(F.desc(time), *map(F.desc, ties)).rowsBetween(Window.unboundedPreceding, 0)
     own = F.when(F.col(value).isNotNull(), F.struct(F.col(time).alias("t"), F.col(value).alias("v")))
-    a = F.last(own, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    b = F.first(own, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    a, b = F.last(own, ignorenulls=True).over(back_to), F.last(own, ignorenulls=True).over(from_end)
     back, ahead = F.col(time) - a["t"], b["t"] - F.col(time)
     early = b.isNull() | (back <= ahead)
     return F.when(a.isNotNull() & early & (back <= within), a["v"]).when(b.isNotNull() & ~(a.isNotNull() & early) & (ahead <= within), b["v"])
