@@ -67,3 +67,43 @@ def hex_color(r: Column, g: Column, b: Column) -> Column:
 def rgba_color(r: Column, g: Column, b: Column, alpha: Column) -> Column:
     """alpha from 0 to 255."""
     return F.concat(F.lit("rgba("), F.concat_ws(",", r.cast("string"), g.cast("string"), b.cast("string"), F.round(alpha / 255.0, 2).cast("string")), F.lit(")"))
+
+
+def _ieee(sign: Column, power: Column, rest: Column, most: int, rest_bits: int) -> Column:
+    size = (
+        F.when(power == 0, rest * F.lit(2.0 ** (2 - (most + 1) // 2 - rest_bits)))
+        .when((power == most) & (rest == 0), F.lit(float("inf")))
+        .when(power == most, F.lit(float("nan")))
+        .otherwise((1 + rest / F.lit(2.0**rest_bits)) * F.pow(F.lit(2.0), power - ((most + 1) // 2 - 1)))
+    )
+    return F.when(sign == 1, -size).otherwise(size)
+
+
+def float32(bits_: Column) -> Column:
+    """The value of a single-precision number's 32 bits, given as a whole number."""
+    return _ieee(bits(bits_, 31, 1), bits(bits_, 23, 8), bits(bits_, 0, 23), 255, 23)
+
+
+def float64(high: Column, low: Column) -> Column:
+    """The value of a double-precision number's 64 bits, given as two halves."""
+    return _ieee(bits(high, 31, 1), bits(high, 20, 11), bits(high, 0, 20) * F.lit(1 << 32) + low, 2047, 52)
+
+
+def varint(data: Column, at: int = 0) -> Column:
+    """The whole number at an offset whose bytes hold seven bits each, least first, and a mark that more follow; of five
+    bytes at most."""
+    byte = [F.coalesce(unsigned(data, at + k, 1), F.lit(0)) for k in range(5)]
+    total, go_on = F.lit(0).cast("long"), F.lit(True)
+    for k, b in enumerate(byte):
+        total = total + F.when(go_on, b.bitwiseAND(F.lit(127)) * F.lit(1 << (7 * k))).otherwise(0)
+        go_on = go_on & (b >= 128)
+    return F.when(F.octet_length(data) > at, total)
+
+
+def gradient_offset(ratio: Column) -> Column:
+    return ratio / 256.0
+
+
+def argb_color(alpha: Column, r: Column, g: Column, b: Column) -> Column:
+    """All four from 0 to 255, as eight hexadecimal digits."""
+    return F.concat(F.lit("#"), *[F.lower(F.lpad(F.hex(x.cast("long")), 2, "0")) for x in (alpha, r, g, b)])

@@ -119,3 +119,63 @@ def significant(value: Column, digits: int) -> Column:
     """Rounded to so many significant digits."""
     power = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(value))))
     return F.when(value == 0, F.lit(0.0)).otherwise(F.round(value * power) / power)
+
+
+def thousands(value: Column) -> Column:
+    """A whole number with commas between groups of three digits."""
+    return F.format_number(value.cast("long"), 0)
+
+
+def percent(part: Column, total: Column) -> Column:
+    """A share in whole hundredths; null of nothing."""
+    return F.round(F.try_divide(100.0 * part, total)).cast("long")
+
+
+def rational(value: Column, most: int = 1000, steps: int = 24) -> Column:
+    """The nearest fraction to a number, as n/d with d at most `most`: the last convergent of its continued fraction whose
+    denominator fits, or the one that gives the number to within a part in 10^9."""
+    size = F.abs(value)
+    start = F.struct(
+        size.alias("x"), F.lit(0.0).alias("n0"), F.lit(1.0).alias("n1"), F.lit(1.0).alias("d0"), F.lit(0.0).alias("d1"), F.lit(False).alias("done"))
+
+    def step(s: Column, _: Column) -> Column:
+        whole = F.floor(s["x"]).cast("double")
+        n, d = whole * s["n1"] + s["n0"], whole * s["d1"] + s["d0"]
+        over = s["done"] | (d > most)
+        rest = s["x"] - whole
+        done = over | (rest < 1e-9) | (F.abs(n / d - size) <= 1e-9 * size)
+        keep = lambda old, new: F.when(over, old).otherwise(new)
+        return F.struct(
+            F.when(done, s["x"]).otherwise(F.try_divide(F.lit(1.0), rest)).alias("x"), keep(s["n0"], s["n1"]).alias("n0"), keep(s["n1"], n).alias("n1"),
+            keep(s["d0"], s["d1"]).alias("d0"), keep(s["d1"], d).alias("d1"), done.alias("done"))
+
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
+    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
+    return F.concat(sign, end["n1"].cast("long").cast("string"), F.lit("/"), end["d1"].cast("long").cast("string"))
+
+
+def altitude(value: Column, below: Column) -> Column:
+    """Metres, below the sea where the mark is 1 or tells so."""
+    return F.when(F.coalesce(below.cast("string").rlike(r"^\s*(1|-|[Bb]elow)"), F.lit(False)), -value).otherwise(value)
+
+
+def parameter(value: Column) -> Column:
+    """A camera's setting: Normal for 0, a sign on other whole numbers."""
+    return F.when(value == 0, F.lit("Normal")).when(value > 0, F.concat(F.lit("+"), value.cast("string"))).otherwise(value.cast("string"))
+
+
+def channel_balance(levels: Column, channel: int) -> Column:
+    """Of white-balance levels of four cells (red, green, green, blue), or of three, how far a channel is above the mean
+    green; null where there are fewer or no green. channel: 0 red, 2 blue."""
+    n = F.size(levels)
+    green = F.when(n >= 4, (levels[1] + levels[2]) / 2.0).when(n == 3, levels[1].cast("double"))
+    own = F.when(n >= 4, levels[3 if channel == 2 else 0]).when(n == 3, levels[channel])
+    return F.try_divide(own.cast("double"), F.nullif(green, F.lit(0.0)))
+
+
+def scale_to_35mm(focal: Column, focal35: Column, diagonal: Column) -> Column:
+    """How many times longer a lens would be for the same view on 24 x 36 mm: from its stated equivalent, else from the
+    sensor's diagonal in mm, where these are given and not zero."""
+    whole = F.sqrt(F.lit(24.0 * 24.0 + 36.0 * 36.0))
+    stated = F.when((focal > 0) & (focal35 > 0), focal35 / focal)
+    return F.coalesce(stated, F.when(diagonal > 0, whole / diagonal))

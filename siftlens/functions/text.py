@@ -1,5 +1,8 @@
 """Text functions as Columns: escaping, padding, validity, lists, names and paths."""
 
+import codecs
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,11 +86,73 @@ def is_utf8(data: Column) -> Column:
 
 
 def letters_of(number: Column) -> Column:
-    """a to z, then aa and so on, from 0; for numbers below 18,278."""
-    a, b = F.lit("abcdefghijklmnopqrstuvwxyz"), 26
-    one = lambda n: F.substring(a, (n % b + 1).cast("int"), F.lit(1))
-    two, three = number - b, number - b - b * b
-    return F.when(number < b, one(number)).when(two < b * b, F.concat(one(F.floor(two / b)), one(two))).otherwise(F.concat(one(F.floor(three / (b * b))), one(F.floor(three / b)), one(three)))
+    """a to z, then aa and so on, from 0, for any long."""
+    one = lambda n: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), (n % 26 + 1).cast("int"), F.lit(1))
+    start = F.struct(number.cast("long").alias("n"), F.lit("").alias("out"))
+
+    def step(s: Column, _: Column) -> Column:
+        more = s["n"] >= 0
+        return F.struct(F.when(more, F.floor(s["n"] / 26) - 1).otherwise(s["n"]).cast("long").alias("n"), F.when(more, F.concat(one(s["n"]), s["out"])).otherwise(s["out"]).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step)["out"]
+
+
+def entities_unescaped(text: Column) -> Column:
+    """Numeric entities, decimal or hexadecimal, as their characters; one beyond the last code point, or of half a pair,
+    stays as it is."""
+    form = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+    def character(entity: Column) -> Column:
+        inner = F.regexp_extract(entity, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
+        code = F.when(entity.rlike("^&#[xX]"), F.conv(inner, 16, 10)).otherwise(inner).cast("long")
+        ok = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(F.when(ok, code).otherwise(63)), 8, "0")), "UTF-32")).otherwise(entity)
+
+    between, found = F.split(text, form, -1), F.regexp_extract_all(text, F.lit(form), F.lit(0))
+    return F.concat(F.array_join(F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda a, b: F.concat(a, character(b))), ""), F.element_at(between, -1))
+
+
+def joined_list(values: Column) -> Column:
+    """A list as one text between `; `: an item with a semicolon, a quote or space at an end is quoted, its quotes doubled."""
+    item = lambda x: F.when(x.rlike(r'[;"]|^\s|\s$') | (x == ""), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
+    return F.array_join(F.transform(values, item), "; ")
+
+
+def split_list(text: Column) -> Column:
+    """The items of joined_list()."""
+    form = r'\s*("(?:[^"]|"")*"|[^;]*?)\s*(?:;|$)'
+    bare = lambda x: F.when(x.startswith('"') & x.endswith('"') & (F.length(x) > 1), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
+    found = F.regexp_extract_all(text, F.lit(form), F.lit(1))
+    # The end of a text that does not end in a semicolon matches once more, with nothing.
+    return F.transform(F.when(F.size(found) > 1, F.slice(found, F.lit(1), F.size(found) - 1)).otherwise(found), bare)
+
+
+# Colours of a sensor's cells by their numbers.
+CELLS = ["Red", "Green", "Blue", "Cyan", "Magenta", "Yellow", "White"]
+
+
+def cell_pattern(text: Column) -> Column:
+    """`columns rows c c c ...` as [Red,Green][Green,Blue]; null where the numbers do not fit."""
+    n = F.transform(F.split(F.trim(text), r"\s+"), lambda x: x.try_cast("int"))
+    wide, high = F.try_element_at(n, F.lit(1)), F.try_element_at(n, F.lit(2))
+    fits = (wide > 0) & (high > 0) & (F.size(n) == wide * high + 2) & F.forall(F.slice(n, 3, F.size(n)), lambda x: x.between(0, len(CELLS) - 1))
+    names = F.transform(F.slice(n, F.lit(3), F.size(n)), lambda x: F.element_at(F.array(*map(F.lit, CELLS)), x + 1))
+    row = lambda k: F.concat(F.lit("["), F.array_join(F.slice(names, k * wide + 1, wide), ","), F.lit("]"))
+    return F.when(F.coalesce(fits, F.lit(False)), F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(high, F.lit(1)) - 1), row), ""))
+
+
+def charset_decoded(data: Column, charset: str) -> Column:
+    """Bytes in a named character set as text, bytes that fit nothing replaced. Sets that the JVM's functions know stay
+    there; others go through Python's codecs, a batch at a time."""
+    if charset.upper() in {"US-ASCII", "ISO-8859-1", "UTF-8", "UTF-16BE", "UTF-16LE", "UTF-16", "UTF-32"}:
+        return F.decode(data, charset)
+    codecs.lookup(charset)
+
+    @F.pandas_udf("string")
+    def decoded(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None else bytes(x).decode(charset, "replace"))
+
+    return decoded(data)
 
 
 def quoted_csv(text: Column) -> Column:

@@ -130,11 +130,11 @@ def json_props(spark, d):
     return read(spark, d, "events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"), F.try_variant_get(v, "$.absent", "string").isNull().alias("absent"))
 
 
-@query("charset_valid")
+@query("charset_valid", r"SELECT doc_id, true AS valid, NOT regexp_matches(text, '[\x{80}-\x{FF}]') AS latin_valid FROM documents")
 def charset_valid(spark, d):
     """Texts as UTF-8 and as Latin-1 bytes: which are valid UTF-8."""
-    t = F.col("text")
-    return read(spark, d, "documents").select("doc_id", tx.is_utf8(t).alias("valid"), tx.is_utf8(F.encode(F.translate(t, "“”’", "\"\"'"), "UTF-16BE").cast("binary")).alias("wide_valid"))
+    latin = F.encode(F.regexp_replace("text", r"[^\x00-\xFF]", "?"), "ISO-8859-1")
+    return read(spark, d, "documents").select("doc_id", tx.is_utf8(F.col("text")).alias("valid"), tx.is_utf8(latin).alias("latin_valid"))
 
 
 @query("number_kinds", r"""
