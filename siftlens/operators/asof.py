@@ -78,3 +78,20 @@ def drift_corrected(df: DataFrame, syncs: list[tuple[float, float]], time: str)
     for a, b in reversed(list(zip(points[:-2], points[1:-1], strict=True))):
         error = F.when(t < b[0], line(a, b)).otherwise(error)
     return t - error
+
+
+def position_columns(fixes: DataFrame, keep: list[str], time: str = "t") -> DataFrame:
+    """Rows of fixes (t, lat, lon, alt, and, where they have them, track, speed, dir, pitch, roll) as the columns a picture's
+    position is written to: sizes with their references; what is null stays null."""
+    have = {*fixes.columns}
+    stamp = F.timestamp_seconds(F.col(time))
+    ref = lambda c, below, above: F.when(F.col(c) < 0, F.lit(below)).when(F.col(c) >= 0, F.lit(above))
+    out = [
+        F.abs("lat").alias("GPSLatitude"), ref("lat", "S", "N").alias("GPSLatitudeRef"), F.abs("lon").alias("GPSLongitude"), ref("lon", "W", "E").alias("GPSLongitudeRef"),
+        F.abs("alt").alias("GPSAltitude"), ref("alt", 1, 0).alias("GPSAltitudeRef"), F.date_format(stamp, "yyyy:MM:dd").alias("GPSDateStamp"), F.date_format(stamp, "HH:mm:ss").alias("GPSTimeStamp"),
+    ]
+    for own, name, mark in (("track", "GPSTrack", "T"), ("speed", "GPSSpeed", "K"), ("dir", "GPSImgDirection", "T")):
+        if own in have:
+            out += [F.col(own).alias(name), F.when(F.col(own).isNotNull(), F.lit(mark)).alias(f"{name}Ref")]
+    out += [F.col(own).alias(name) for own, name in (("pitch", "GPSPitch"), ("roll", "GPSRoll")) if own in have]
+    return fixes.select(*keep, *out)

@@ -58,3 +58,30 @@ def first_seen_rank(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     """Each group's place by its first appearance, from 1."""
     first = df.groupBy(group).agg(F.min(F.struct(*order)).alias("seen"))
     return first.select(group, F.dense_rank().over(Window.orderBy("seen")).alias("place"))
+
+
+def first_seen(infos: list[DataFrame], keys: list[str], columns: list[str]) -> DataFrame:
+    """Of several tables, for each key the row of the first that has it; aggregated before the shuffle."""
+    both = None
+    for n, df in enumerate(infos):
+        own = df.select(*keys, F.lit(n).alias("turn"), *columns)
+        both = own if both is None else both.unionByName(own)
+    best = both.groupBy(*keys).agg(F.min_by(F.struct(*columns), "turn").alias("best"))
+    return best.select(*keys, *[F.col(f"best.{c}").alias(c) for c in columns])
+
+
+def by_want(df: DataFrame, keys: list[str], group: str, wanted: list[str], order: str, columns: list[str]) -> DataFrame:
+    """For each key the row whose group comes first among the wanted, and of these the latest; rows of other groups go."""
+    place = F.array_position(F.array(*map(F.lit, wanted)), F.col(group))
+    best = df.where(place > 0).groupBy(*keys).agg(F.min_by(F.struct(*columns), F.struct(place, -F.col(order))).alias("best"))
+    return best.select(*keys, *[F.col(f"best.{c}").alias(c) for c in columns])
+
+
+def assembled(df: DataFrame, keys: list[str], index: str, total: str, chunk: str) -> DataFrame:
+    """Binary chunks of a key put together by their index from 1; null where one is missing, or their number is stated
+    unequally. A chunk that comes twice counts once. The chunks of a key meet in one row: they are parts of one file."""
+    pairs = F.array_sort(F.collect_set(F.struct(F.col(index).alias("index"), F.col(chunk).alias("chunk"))))
+    out = df.groupBy(*keys).agg(pairs.alias("pairs"), F.min(total).alias("least"), F.max(total).alias("most"))
+    whole = F.unhex(F.array_join(F.transform("pairs", lambda x: F.hex(x["chunk"])), ""))
+    there = (F.col("least") == F.col("most")) & (F.transform("pairs", lambda x: x["index"].cast("long")) == F.sequence(F.lit(1).cast("long"), F.col("most").cast("long")))
+    return out.select(*keys, F.when(F.coalesce(there, F.lit(False)), whole).alias(chunk))

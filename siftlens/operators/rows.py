@@ -5,6 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def matching(df: DataFrame, *patterns: str) -> list[str]:
@@ -75,3 +76,71 @@ def mixed_order(text: Column) -> list[Column]:
     number = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.cast("double"))
     padded = F.regexp_replace(F.regexp_replace(F.lower(text), r"(\d+)", "000000000000$1"), r"0+(\d{12})(?!\d)", "$1")
     return [F.when(text.isNull(), 2).when(number.isNotNull(), 0).otherwise(1).asc(), number.asc_nulls_last(), F.when(number.isNull(), padded).asc_nulls_last()]
+
+
+def expanded(names: list[str], shortcuts: dict[str, list[str]]) -> list[str]:
+    """Names with shortcuts, in any case, replaced by what they stand for, which may be shortcuts again; each once."""
+    by = {k.lower(): v for k, v in shortcuts.items()}
+    out: list[str] = []
+
+    def add(name: str, within: tuple[str, ...]) -> None:
+        if name.lower() in within:
+            raise ValueError(f"{name} stands for itself")
+        if name.lower() in by:
+            for x in by[name.lower()]:
+                add(x, (*within, name.lower()))
+        elif name not in out:
+            out.append(name)
+
+    for n in names:
+        add(n, ())
+    return out
+
+
+def shown(df: DataFrame, wanted: list[str], prints: dict[str, Callable[[Column], Column]], plain: bool = False) -> DataFrame:
+    """Wanted columns as they are printed; as plain values where all are wanted so, or where a name ends in #."""
+    out = []
+    for name in wanted:
+        own = name.rstrip("#")
+        out.append(F.col(own).alias(name) if plain or name.endswith("#") or own not in prints else prints[own](F.col(own)).alias(name))
+    return df.select(*out)
+
+
+def known_at(df: DataFrame, level: str, most: int) -> DataFrame:
+    """Rows of at most a level: 0 for what is known, 1 and 2 for what is less so; an unstated level is 0."""
+    return df.where(F.coalesce(F.col(level), F.lit(0)) <= most)
+
+
+def mapped_values(df: DataFrame, change: Callable[[Column], Column]) -> DataFrame:
+    """A change of text applied to every text of a row, those in lists, structs and maps' values too."""
+
+    def of(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StringType):
+            return change(c)
+        if isinstance(kind, T.ArrayType):
+            return F.transform(c, lambda x: of(x, kind.elementType))
+        if isinstance(kind, T.MapType):
+            return F.transform_values(c, lambda _, x: of(x, kind.valueType))
+        if isinstance(kind, T.StructType):
+            return F.when(c.isNotNull(), F.struct(*[of(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+        return c
+
+    return df.select(*[of(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
+def composite(require: list[Column], desire: list[Column], inhibit: list[Column], value: Column) -> Column:
+    """A value that needs all of some inputs, may use others, and is not made where one of a third kind is given."""
+    ok = F.lit(True)
+    for c in require:
+        ok = ok & c.isNotNull()
+    for c in inhibit:
+        ok = ok & c.isNull()
+    given = F.lit(True) if not desire or require else F.coalesce(*desire).isNotNull()
+    return F.when(ok & given, value)
+
+
+def tag_order(mode: str) -> list[Column]:
+    """Sort keys of rows of (group, tag, description, file_order, asked): as asked for, as in the file, by name, by
+    description, or by group and then as in the file."""
+    keys = {"input": ["asked", "file_order"], "file": ["file_order"], "tag": ["tag", "file_order"], "description": ["description", "file_order"], "group": ["group", "file_order"]}
+    return [F.lower(F.col(k)).asc() if k in ("tag", "description") else F.col(k).asc() for k in keys[mode]]

@@ -1,8 +1,10 @@
 """Operations along an order: carrying forward, sessions by marker, running sums, gaps, copies. Each is one shuffle by key
 and one sort; keys are documents, users or tracks, never constants."""
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def along(keys: list[str], *order: str):
@@ -48,3 +50,34 @@ def rolled_days(time_of_day: str, keys: list[str], *order: str, jitter: float =
 def copy_number(keys: list[str], *order: str) -> Column:
     """0 for the first row of a key, 1 for its first copy, and so on."""
     return (F.row_number().over(along(keys, *order)) - 1).cast("long")
+
+
+def chained(edges: DataFrame, keys: list[str], order: str, start: str, end: str) -> DataFrame:
+    """Edges of a key with path and place: each path begins with the first edge by order that is on no path yet, and goes
+    on with an edge that starts where the last one ends, the first of several by order, until it closes or nothing fits.
+    Following edges is a walk, so a key's edges (one outline of a drawing) are one task's work."""
+    kinds = T.StructType([*[edges.schema[c] for c in (*keys, order, start, end)], T.StructField("path", T.IntegerType()), T.StructField("place", T.IntegerType())])
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
+        ahead: dict = {}
+        for k in reversed(range(len(rows))):
+            ahead.setdefault(rows[start][k], []).append(k)
+        ends, used = rows[end].tolist(), [False] * len(rows)
+        path, place = [0] * len(rows), [0] * len(rows)
+        number = 0
+        for first in range(len(rows)):
+            if used[first]:
+                continue
+            k, n = first, 0
+            while k is not None:
+                used[k], path[k], place[k] = True, number, n
+                n += 1
+                free = ahead.get(ends[k], [])
+                while free and used[free[-1]]:
+                    free.pop()
+                k = free.pop() if free and ends[k] != rows[start][first] else None
+            number += 1
+        return rows.assign(path=path, place=place)[[f.name for f in kinds]]
+
+    return edges.select(*keys, order, start, end).groupBy(*keys).applyInPandas(walk, kinds)
