@@ -134,23 +134,44 @@ def test_sniffed(spark):
 def test_gpx_kml_garmin(spark):
     text = '<gpx><trkpt lat="43.6" lon="-116.1"><ele>100.5</ele><time>2003-05-24T17:09:00Z</time></trkpt><trkpt lat="1" lon="2"></trkpt></gpx>'
     logs = spark.createDataFrame([("a", text), ("b", None)], "path string, value string")
-    assert [tuple(r) for r in tracks.gpx(logs).collect()] == [("a", 1053796140.0, 43.6, -116.1, 100.5)]
+    assert [tuple(r) for r in tracks.gpx(logs).select(*tracks.PLACE).collect()] == [("a", 1053796140.0, 43.6, -116.1, 100.5)]
     logs = spark.createDataFrame([("k", "<kml><Placemark><when>1970-01-01T00:00:05Z</when><coordinates>2,1,7</coordinates></Placemark></kml>")], "path string, value string")
-    assert [tuple(r) for r in tracks.kml(logs).collect()] == [("k", 5.0, 1.0, 2.0, 7.0)]
+    assert [tuple(r) for r in tracks.kml(logs).select(*tracks.PLACE).collect()] == [("k", 5.0, 1.0, 2.0, 7.0)]
     logs = spark.createDataFrame([("g", "<Trackpoint><Time>1970-01-01T00:00:05Z</Time><Position><LatitudeDegrees>1</LatitudeDegrees><LongitudeDegrees>2</LongitudeDegrees></Position></Trackpoint>")], "path string, value string")
-    assert [tuple(r) for r in tracks.garmin(logs).collect()] == [("g", 5.0, 1.0, 2.0, None)]
+    assert [tuple(r) for r in tracks.garmin(logs).select(*tracks.PLACE).collect()] == [("g", 5.0, 1.0, 2.0, None)]
 
 
 def test_nmea_and_igc(spark):
     lines = ["$GPRMC,235959.0,A,4330.0000,N,11606.0000,W,0,0,240503,,*1A", "$GPGGA,235959.0,4330.0000,N,11606.0000,W,1,5,1,99.5,M,,*00", "$GPGGA,000001.0,4331.0000,S,11606.0000,E,1,5,1,98.5,M,,*00", "$GPRMC,1,V,,,,,,,,*", "noise"]
     df = spark.createDataFrame([("n", k, x) for k, x in enumerate(lines)], "path string, line_no int, value string")
-    rows = sorted(tuple(r) for r in tracks.nmea(df).collect())
+    rows = sorted(tuple(r) for r in tracks.nmea(df).select(*tracks.PLACE).collect())
     assert rows == [("n", 1053820799.0, 43.5, -116.1, 99.5), ("n", 1053820801.0, -(43 + 31 / 60), 116.1, 98.5)]
     df = spark.createDataFrame([("i", 0, "HFDTE240503"), ("i", 1, "B1709314338510N11603734WA0148501490")], "path string, line_no int, value string")
     (row,) = tracks.igc(df).collect()
     assert row["t"] == 1053796171.0 and abs(row["lat"] - (43 + 38.51 / 60)) < 1e-9 and row["lon"] < -116 and row["alt"] == 1490.0
 
 
+def test_other_logs(spark):
+    lines = ["$PTNTHPR,254.7,N,-1.7,N,-12.1,N,A*6E", "$GPRMC,112723.000,A,5040.3182,N,00505.9469,E,10.0,138.74,240410,,,A*51", "$GPGLL,5041.0000,N,00505.0000,E,112725.0,A", "$GPZDA,000001.0,25,04,2010,00,00", "$GPGLL,5042.0000,N,00505.0000,W,000002.0,A",
+             "$PMGNTRK,4415.163,N,07631.126,W,00095,M,110833.53,A,,030409*68"]
+    df = spark.createDataFrame([("n", k, x) for k, x in enumerate(lines)], "path string, line_no int, value string")
+    rows = sorted(tracks.nmea(df).collect(), key=lambda r: r["t"])
+    assert [r["t"] for r in rows] == [1238756913.53, 1272108443.0, 1272108445.0, 1272153602.0]
+    assert (rows[1]["dir"], rows[1]["pitch"], rows[1]["roll"], rows[1]["speed"], rows[1]["track"]) == (254.7, -1.7, -12.1, 18.52, 138.74)
+    assert rows[2]["dir"] is None and rows[3]["lon"] < 0 and rows[0]["alt"] == 95.0
+    texts = ["TP,D, 44.933666667, -93.186555556, 10/26/2011, 19:07:28, 0", "   1 0001   42.721544   61.671879  249  25.21 21/04/2014 07:06:41  25.21    5.90    3.27 ypr", "noise ypr"]
+    df = spark.createDataFrame([("a", k, x) for k, x in enumerate(texts)], "path string, line_no int, value string")
+    (row,) = tracks.winplus(df).collect()
+    assert (row["t"], row["lat"], row["lon"]) == (1319656048.0, 44.933666667, -93.186555556)
+    (row,) = tracks.bramor(df).collect()
+    assert (row["t"], row["lat"], row["alt"], row["track"], row["dir"], row["pitch"], row["roll"]) == (1398064001.0, 42.721544, 249.0, 25.21, 25.21, 5.9, 3.27)
+    kinds = [r[0] for r in df.select(tracks.log_kind(df.value)).collect()]
+    assert kinds == ["Winplus", "Bramor", None]
+    text = "<kml><Placemark><gx:Track><when>1970-01-01T00:00:05Z</when><when>1970-01-01T00:00:06Z</when><gx:coord>2 1 7</gx:coord><gx:coord>3 4 8</gx:coord></gx:Track></Placemark></kml>"
+    logs = spark.createDataFrame([("k", text)], "path string, value string")
+    assert sorted(tuple(r) for r in tracks.with_first(tracks.kml(logs)).select("t", "lat", "lon", "alt", "first").collect()) == [(5.0, 1.0, 2.0, 7.0, True), (6.0, 4.0, 3.0, 8.0, False)]
+
+
 def test_overlays(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes('﻿SourceFile,Artist,Title\na.jpg,"x, ""y""\nz",one\na.jpg,,two\n*,-,any\n'.encode())
     rows = {r["SourceFile"]: r for r in overlays.read_csv(spark, str(tmp_path / "a.csv"), missing="-").collect()}
