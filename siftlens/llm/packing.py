@@ -23,8 +23,8 @@ from siftlens.llm.common import cuts_by_bytes, quoted, released, stored, table
 from siftlens.llm.tokens import REMEMBERED, crc_of, encoder, vocabulary_path
 
 CAPACITY, END = 1024, 2
-#: Bytes of text encoded at a time; pieces of one length that a task ranks; stretches that a worker of the pipeline remembers.
-PASS_BYTES, SHARE, STAGE_REMEMBERED = 2 << 20, 200_000, 100_000
+#: Bytes of text encoded at a time; pieces of one length that a task ranks, and shares at least; stretches that a worker of the pipeline remembers.
+PASS_BYTES, SHARE, SALTS, STAGE_REMEMBERED = 2 << 20, 200_000, 64, 100_000
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -197,7 +197,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     full = full.select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < capacity)
     histogram = {r["length"]: r["count"] for r in rest.groupBy("length").count().collect()}  # at most capacity rows
-    salts = max(8, -(-max(histogram.values(), default=0) // SHARE))
+    salts = max(SALTS, -(-max(histogram.values(), default=0) // SHARE))
     rest = rest.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32", "start"), F.lit(salts)).cast("int"))
     # Shares of a length follow each other: where each begins among its like. A length has few shares but for a table of
     # very many pieces, and then there are capacity x salts rows, which stay a table.
