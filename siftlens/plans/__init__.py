@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlens.plans import dates, files, formats, gathering, linking, outputs, scalars, selecting, sequences, tracking  # noqa: F401  they register their queries
+from siftlens.plans import composing, dates, files, formats, gathering, linking, outputs, scalars, selecting, sequences, tracking  # noqa: F401  they register their queries
 from siftlens.plans.registry import QUERIES, SQL
 
 

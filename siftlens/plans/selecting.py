@@ -53,12 +53,8 @@ SELECT page_id, nullif(lower(regexp_extract(head, '(?is)<meta[^>]*\bcharset="?([
   nullif(regexp_extract(head, '(?is)<title[^>]*>(.*?)</title>', 1), '') AS "Title" FROM h
 WHERE regexp_matches(head, '(?is)<title[^>]*>.+?</title>') OR lang <> '' OR regexp_matches(head, '(?is)<meta[^>]*\bcharset="?[\w-]+')""")
 def head_tags_wide(spark, d):
-    """Source, decode, lookup, de-duplication and pivot: the whole way of a record."""
-    tags = html.head_tags(read(spark, d, "pages"), "page_id", "html")
-    known = spark.createDataFrame([("title", "Title"), ("lang", "Language"), ("charset", "Charset")], "name string, tag string")
-    named = tags.join(F.broadcast(known), "name").withColumn("priority", F.lit(1))
-    best = gather.deduplicate(named, ["page_id", "tag"], "priority", "place")
-    return gather.widen(best, "page_id", "tag", F.first("value"), ["Charset", "Language", "Title"])
+    """Source, decode, lookup, choice and wide rows, without a shuffle."""
+    return html.head_wide(read(spark, d, "pages"), "page_id", "html", {"title": "Title", "lang": "Language", "charset": "Charset"})
 
 
 @query("if_condition", """

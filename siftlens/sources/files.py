@@ -1,7 +1,9 @@
 """Files as rows: path, extension, size, bytes. Decoders are functions of bytes that give rows; they run over Arrow
 batches, a file at a time, so files are spread over tasks and a file's bytes are in one task only."""
 
+import bz2
 import json
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -50,3 +52,39 @@ def decoded(found: DataFrame, decoder: Decoder, batch_rows: int = 4096) -> DataF
             yield pa.RecordBatch.from_pylist(held, _ARROW)
 
     return found.select("path", "content").mapInArrow(run, RECORD)
+
+
+#: Bytes that a packed file may give at most.
+MOST_UNPACKED = 1 << 30
+
+
+def inflated(data: bytes, wbits: int = 15, most: int = MOST_UNPACKED) -> bytes:
+    """Inflated data; ValueError beyond `most` bytes, zlib.error where they are damaged."""
+    machine = zlib.decompressobj(wbits)
+    out = machine.decompress(data, most + 1)
+    if len(out) > most:
+        raise ValueError(f"more than {most} bytes")
+    return out
+
+
+def unpacked(found: DataFrame, most: int = MOST_UNPACKED) -> DataFrame:
+    """Files (path, content) with those that are gzip or bzip2 by their first bytes unpacked, and the last extension of
+    their path taken off; error where that fails or gives more than `most` bytes, and the content is null then."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                error = None
+                try:
+                    if content is not None and content[:2] == b"\x1f\x8b":
+                        path, content = path.removesuffix(".gz"), inflated(content, 31, most)
+                    elif content is not None and content[:3] == b"BZh":
+                        machine = bz2.BZ2Decompressor()
+                        path, content = path.removesuffix(".bz2"), machine.decompress(content, most + 1)
+                        if len(content) > most:
+                            raise ValueError(f"more than {most} bytes")
+                except (OSError, ValueError, zlib.error) as e:
+                    content, error = None, str(e)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary()), pa.array([error], pa.string())], names=["path", "content", "error"])
+
+    return found.select("path", "content").mapInArrow(run, "path string, content binary, error string")

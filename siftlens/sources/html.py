@@ -31,8 +31,8 @@ def unescaped(text: pd.Series) -> pd.Series:
     return text.map(entities.unescape, na_action="ignore")
 
 
-def head_tags(pages: DataFrame, id_col: str, column: str) -> DataFrame:
-    """A row for each tag of a page's head: id, name, value, place. Names of `meta name` and `http-equiv` are in lower
+def head_list(column: str) -> Column:
+    """The tags of a page's head in order, as structs of name and value. Names of `meta name` and `http-equiv` are in lower
     case. Pages without a head give the language at most."""
     h = head(column)
     first = F.array(*[F.struct(F.lit(n).alias("name"), h[n].alias("value")) for n in ("title", "lang", "charset")])
@@ -40,5 +40,19 @@ def head_tags(pages: DataFrame, id_col: str, column: str) -> DataFrame:
     named = F.transform(attributes, lambda a: F.struct(
         F.lower(F.regexp_extract(a, r'(?i)\b(?:name|http-equiv)\s*=\s*["\']?([^"\'\s>]+)', 1)).alias("name"),
         F.regexp_extract(a, r'(?i)\bcontent\s*=\s*["\']([^"\']*)["\']', 1).alias("value")))
-    every = F.concat(F.filter(first, lambda x: x["value"].isNotNull()), F.filter(named, lambda x: x["name"] != ""))
-    return pages.select(id_col, F.posexplode(every).alias("place", "tag")).select(id_col, "tag.name", "tag.value", F.col("place").cast("long").alias("place"))
+    return F.concat(F.filter(first, lambda x: x["value"].isNotNull()), F.filter(named, lambda x: x["name"] != ""))
+
+
+def head_tags(pages: DataFrame, id_col: str, column: str) -> DataFrame:
+    """A row for each tag of a page's head: id, name, value, place."""
+    every = pages.select(id_col, F.posexplode(head_list(column)).alias("place", "tag"))
+    return every.select(id_col, "tag.name", "tag.value", F.col("place").cast("long").alias("place"))
+
+
+def head_wide(pages: DataFrame, id_col: str, column: str, names: dict[str, str]) -> DataFrame:
+    """One row a page with a column for each wanted name (name in the head: column), the last of several by that name, for
+    pages that have any. What belongs to one page is in one row from the start, so nothing is shuffled."""
+    tags = pages.select(id_col, head_list(column).alias("tags"))
+    last = lambda n: F.try_element_at(F.filter("tags", lambda x: x["name"] == n), F.lit(-1))["value"]
+    wide = tags.select(id_col, *[last(n).alias(c) for n, c in sorted(names.items(), key=lambda x: x[1])])
+    return wide.where(F.coalesce(*names.values()).isNotNull())

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftlens.sources.files import decoded
+from siftlens.sources.files import MOST_UNPACKED, decoded
 
 # Tag names by code, from 0; codes that no public text names are UNKNOWN.
 NAMES = dict(enumerate((
@@ -220,7 +220,7 @@ def tags(data: bytes) -> Iterator[dict]:
     if data[:1] == b"C":
         inflater = zlib.decompressobj()
         try:
-            body = inflater.decompress(body)
+            body = inflater.decompress(body, min(max(length - 8, 1), MOST_UNPACKED))  # no more than the head states
         except zlib.error as e:
             yield {"offset": 0, "code": -1, "name": "Header", "size": len(data), "error": f"body can't be inflated: {e}"}
             return

@@ -102,6 +102,27 @@ def test_functions(spark, column, value):
     assert one(spark, column()) == value
 
 
+@pytest.mark.parametrize("bits_", [0.0, 1.5, -2.0**-140, 3.4e38, float("inf")])
+def test_floats_by_their_bits(spark, bits_):
+    (n,) = struct.unpack(">I", struct.pack(">f", bits_))
+    high, low = struct.unpack(">II", struct.pack(">d", bits_))
+    assert one(spark, binary.float32(F.lit(n))) == struct.unpack(">f", struct.pack(">f", bits_))[0]
+    assert one(spark, binary.float64(F.lit(high), F.lit(low))) == bits_
+
+
+def test_one_hot_key_is_worked_through_once(spark):
+    """A key of very many rows: each frame is carried along."""
+    from siftlens.operators import asof
+
+    fixes = spark.range(0, 400_000, 2).selectExpr("1 as k", "cast(id as double) as t", "cast(id as double) as v")
+    probes = spark.range(1, 400_000, 2).selectExpr("1 as k", "cast(id as double) as t", "id as n")
+    found = asof.interpolate(probes, fixes, ["k"], "t", ["v"], ["n"])
+    assert found.where("abs(v - t) > 1e-9 or v is null").count() == 1  # the last probe takes the last fix
+    df = spark.range(200_000).selectExpr("1 as k", "cast(id as double) as t", "if(id % 1000 = 0, id, null) as v", "id")
+    near = df.select("id", asof.nearest(df, "v", ["k"], "t", "id").alias("near"))
+    assert near.where("near is null").count() == 0 and near.where("id = 500").first()["near"] == 0 and near.where("id = 501").first()["near"] == 1000
+
+
 def test_zigzag(spark):
     got = one(spark, binary.zigzag(F.sequence(F.lit(0), F.lit(63))))
     assert got[:10] == [0, 1, 5, 6, 14, 15, 27, 28, 2, 4] and sorted(got) == list(range(64))

@@ -192,6 +192,20 @@ def test_files(spark, tmp_path):
     assert sorted(r["extension"] for r in files(spark, str(tmp_path), reject=("txt",)).collect()) == ["jpg", "swf"]
 
 
+def test_unpacked_files(spark):
+    import bz2
+    import gzip
+
+    from siftlens.sources.files import unpacked
+
+    rows = [("a.jpg.gz", gzip.compress(b"x" * 50)), ("b.bz2", bz2.compress(b"y")), ("c", b"plain"), ("d.gz", b"\x1f\x8bjunk"), ("e", None), ("f.gz", gzip.compress(b"z" * 500))]
+    df = spark.createDataFrame([(p, None if c is None else bytearray(c)) for p, c in rows], "path string, content binary")
+    found = {r["path"]: r for r in unpacked(df, most=100).collect()}
+    assert found["a.jpg"]["content"] == b"x" * 50 and found["b"]["content"] == b"y" and found["c"]["content"] == b"plain" and found["e"]["content"] is None
+    assert found["d.gz"]["error"] or found["d"]["error"]
+    assert [r["error"] for p, r in found.items() if p.startswith("f")] == ["more than 100 bytes"]
+
+
 def test_small_image_headers(spark):
     from pyspark.sql import functions as F
 
