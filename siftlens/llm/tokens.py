@@ -35,8 +35,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.spaces, self.remembered = spaces, remembered
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -44,7 +43,7 @@ class Encoder:
     def _stretches(self, text: str) -> list[str]:
         """Where spaces count, a stretch stands for itself with the space before it; a first one, which has none, is
         told by a space in front."""
-        if self.special and self.special.search(text):
+        if any(x in text for x in self.special):
             return [" " + text if self.spaces else text]
         if not self.spaces:
             return [x for x in _BARE.split(text) if x]
