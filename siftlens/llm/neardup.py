@@ -9,7 +9,7 @@
 4. Buckets that still hold several components: in some rounds all others are paired with a member of the largest, again
    one confirmation a member. Then the pairs across components of buckets of at most HOT members are looked at within a
    join, in the first band they share; those of larger buckets are found by the rarest shingles of their members' sets,
-   of which two similar sets must share one. A pair within one component can add nothing. So no pair that meets in a
+   of which two similar sets must share one, at places that leave enough behind them. A pair within one component can add nothing. So no pair that meets in a
    band is left out, yet a group of n near copies, or of n texts around a common passage, costs far less than n * n.
 5. Final components by hooking and pointer jumping over the links.
 
@@ -21,6 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +37,10 @@ SAMPLES = 2 * BANDS * ROWS
 SKETCH_BITS, MOST_DIFFERENT = 1024, 165
 #: Bits of the bitmap of ids whose texts are needed again: 2 MB.
 MARKS = 1 << 24
-#: Members of a bucket beyond which its pairs are found by their rarest shingles.
+#: Bits of a part of it, as Spark builds bitmaps.
+BUCKET = 1 << 15
+#: Members of a bucket beyond which its pairs are found by their rarest shingles; members of a shingle beyond which it
+#: counts as frequent, at least.
 HOT = 64
 #: Rounds in which buckets with several components are joined to their largest, before all pairs across are looked at.
 ROUNDS = 2
@@ -191,6 +195,25 @@ def _sets(shingle: int):
     return released(run)
 
 
+def _parted(marks: np.ndarray):
+    """Nodes with their shingles that the bitmap does not mark, and those that it marks, each in the set's order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("shingles")
+            values = held.flatten().to_numpy()
+            at = values & (MARKS - 1)
+            marked = (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            ends = np.cumsum(np.concatenate([[0], pc.list_value_length(held).to_numpy()]))
+            lists = []
+            for those in (~marked, marked):
+                upto = np.concatenate([[0], np.cumsum(those)])[ends].astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(upto), pa.array(values[those])))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *lists], names=["node", "rare", "often"])
+
+    return released(run)
+
+
 def _confirm(shingle: int, least: int):
     """Of rows of two nodes and their texts: the pairs of nodes whose full sets are similar enough."""
 
@@ -328,14 +351,20 @@ def _labels(nodes: DataFrame, rows: DataFrame, repeats: bool, shingle: int, leas
     sets = stored(sets, "sets")
     across = _within(left.join(sizes, "key", "left_anti"), nodes, sets, least)
     if sizes.limit(1).count():
-        across = across.union(_by_rare(left.join(sizes, "key", "left_semi").select("node", "label").distinct(), slim, sets, least))
+        large = left.join(sizes, "key", "left_semi").select("node", "label").distinct()
+        across = across.union(_by_rare(stored(large, "large"), slim, sets, least))
     return _merged(labels, across)[0]
 
 
 def _linked(least: int) -> Column:
     """Whether the pair of a row is similar enough: sizes and sketches first, then the whole sets."""
+    return F.when((F.col("a_label") != F.col("b_label")) & _near(least), _similar(least))
+
+
+def _similar(least: int) -> Column:
+    """Whether the whole sets of a row's pair are similar enough."""
     common = F.size(F.array_intersect("a_shingles", "b_shingles")).cast("long")
-    return F.when((F.col("a_label") != F.col("b_label")) & _near(least), 100 * common >= least * (F.col("a_n") + F.col("b_n") - common))
+    return 100 * common >= least * (F.col("a_n") + F.col("b_n") - common)
 
 
 def _within(left: DataFrame, nodes: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -349,28 +378,56 @@ def _within(left: DataFrame, nodes: DataFrame, sets: DataFrame, least: int) -> D
 
 
 def _by_rare(members: DataFrame, slim: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """Links between labels among the members of large buckets, without pairing these: two sets that are similar enough
-    share one of their rarest shingles. Of a set of n, ordered by how many members hold a shingle, the first
-    n - ceil(least * n / 100) + 1 hold a common one with any partner; where large buckets come from a common passage, the
-    rarest shingles are what the texts do not share, and hardly any pair meets."""
+    """Links between labels among the members of large buckets, without pairing these. All sets are put into one order
+    of shingles, from rare to frequent. Two sets that are similar enough have their first common shingle early in both,
+    as no more of them can be common than stand behind it: a place says how large a partner it can still serve. Where
+    large buckets come from a common passage, the early shingles are what the texts do not share, and few pairs meet."""
     own = stored(members.join(sets, "node"), "hot_sets")
     each = own.select("node", F.explode("shingles").alias("shingle"))
     held = stored(each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1"), "held")
-    # A shingle that one member alone holds comes first in its order and can be no partner's: only its number counts.
-    ranked = each.join(held, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "shingle"))).alias("common"))
-    ranked = ranked.join(slim, "node").join(members, "node")
-    alone = F.col("n") - F.size("common")
+    often, marks = _frequent(held)
+    # Frequent shingles come last, in the order of their hashes; only the others need their numbers.
+    parted = stored(own.select("node", "shingles").mapInArrow(_parted(marks), "node long, rare array<long>, often array<long>"), "parted")
+    counted = parted.select("node", F.explode("rare").alias("shingle")).join(held.where(F.col("c") <= often), "shingle")
+    counted = counted.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "shingle")))["shingle"].alias("rare"))
+    sized = members.join(slim.select("node", "n"), "node")
+    ordered = sized.join(parted.select("node", "often"), "node").join(counted, "node", "left")
+    # A shingle that one member alone holds comes first and can be no partner's: only its number counts.
+    ordered = ordered.withColumn("order", F.concat(F.coalesce("rare", F.array().cast("array<long>")), "often")).drop("rare", "often")
+    alone = F.col("n") - F.size("order")
     prefix = F.col("n") - F.ceil(F.lit(least) * F.col("n") / 100) + 1
-    ranked = ranked.withColumn("take", F.greatest(F.lit(0), prefix - alone).cast("int"))
-    meets = stored(ranked.select("node", "label", "n", "sketch", F.explode(F.slice("common", F.lit(1), F.col("take"))).alias("x")).select("*", F.col("x.shingle").alias("shingle")).drop("x"), "meets")
-    one = lambda x: meets.select("shingle", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "label", "n", "sketch")))
-    pairs = one("a").join(one("b"), "shingle").where((F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & _near(least))
-    pairs = stored(pairs.drop("shingle").dropDuplicates(["a_node", "b_node"]), "rare_pairs")
-    side = lambda x: sets.select(F.col("node").alias(f"{x}_node"), F.col("shingles").alias(f"{x}_shingles"))
-    both = pairs.join(side("a"), "a_node").join(side("b"), "b_node").where(_linked(least))
+    ordered = ordered.withColumn("alone", alone).withColumn("take", F.greatest(F.lit(0), prefix - alone).cast("int"))
+    places = ordered.select("node", "label", "n", "alone", F.posexplode(F.slice("order", F.lit(1), F.col("take"))).alias("k", "shingle"))
+    behind = F.col("n") - F.col("alone") - F.col("k")
+    reach = F.floor(behind * (100 + least) / least) - F.col("n")
+    meets = stored(places.select("shingle", "node", "label", "n", reach.alias("reach")), "meets")
+    one = lambda x: meets.select("shingle", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "label", "n", "reach")))
+    larger = (F.col("a_n") > F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_node") > F.col("b_node")))
+    serves = (F.col("a_reach") >= F.col("b_n")) & (F.col("b_reach") >= F.col("a_n"))
+    pairs = one("a").join(one("b").where("b_reach >= b_n"), "shingle").where(larger & serves & (F.col("a_label") != F.col("b_label")))
+    pairs = stored(pairs.drop("shingle", "a_reach", "b_reach").dropDuplicates(["a_node", "b_node"]), "rare_pairs")
+    drawn = lambda x: slim.select(F.col("node").alias(f"{x}_node"), F.col("sketch").alias(f"{x}_sketch"))
+    near = pairs.join(drawn("a"), "a_node").join(drawn("b"), "b_node").where(_near(least)).drop("a_sketch", "b_sketch")
+    side = lambda x: own.select(F.col("node").alias(f"{x}_node"), F.col("shingles").alias(f"{x}_shingles"))
+    both = stored(near, "near_pairs").join(side("a"), "a_node").join(side("b"), "b_node").where(_similar(least))
     return both.select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
 
 
+def _frequent(held: DataFrame) -> tuple[int, np.ndarray]:
+    """How many members a shingle may have that is still counted one by one, and a bitmap of fixed size that marks all
+    shingles with more. The number is a power of two, so large that a small part of the bitmap is marked."""
+    classes = dict(held.groupBy(F.floor(F.log2(F.col("c") - 0.5)).cast("int").alias("power")).count().collect())
+    power = int(np.log2(HOT))
+    while sum(n for k, n in classes.items() if k >= power) > MARKS // 8:
+        power += 1
+    mark = F.col("shingle").bitwiseAND(F.lit(MARKS - 1)) + 1
+    found = held.where(F.col("c") > (1 << power)).groupBy(F.bitmap_bucket_number(mark).alias("bucket"))
+    marks = np.zeros((MARKS // BUCKET, BUCKET // 8), np.uint8)
+    for bucket, part in found.agg(F.bitmap_construct_agg(F.bitmap_bit_position(mark))).collect():
+        marks[bucket - 1] = np.frombuffer(part, np.uint8)
+    return 1 << power, marks.ravel()
+
+
 def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows whose id has a mark in a bitmap of the wanted ids' hashes: all that are wanted, and some more the more
     there are. The bitmap is of a fixed size, so it can be broadcast at any scale, and spares most texts the shuffle."""

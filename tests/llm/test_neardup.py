@@ -104,3 +104,21 @@ def test_a_large_bucket_of_a_common_passage(spark, shared, monkeypatch):
     df = spark.createDataFrame(texts, "doc_id long, text string")
     found = {r["doc_id"]: r["component_id"] for r in d.near_duplicates(df).collect()}
     assert found == {i: i - 1000 if i >= 1000 else i for i, _ in texts}
+
+
+@pytest.mark.parametrize("marks", [1 << 24, 1 << 15])
+def test_a_large_bucket_around_the_threshold(rows, monkeypatch, marks):
+    """Changed copies of one text, of several lengths, most pairs of which are just below or above the threshold; with a
+    small bitmap, nearly all shingles count as frequent or share a mark with one that does."""
+    monkeypatch.setattr(d, "HOT", 8)
+    monkeypatch.setattr(d, "ROUNDS", 0)
+    monkeypatch.setattr(d, "MARKS", marks)
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(300):
+        w = list(base)
+        for j in rng.sample(range(150), rng.choice([1, 3, 4, 5, 6])):
+            w[j] = f"x{k}y{j}"
+        texts.append((k, " ".join(w[: rng.choice([120, 135, 150])])))
+    check(d.near_duplicates(rows(texts)), texts)
