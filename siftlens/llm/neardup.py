@@ -195,6 +195,13 @@ def _sets(shingle: int):
     return released(run)
 
 
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct shingles of each batch, and how many of its sets hold them: what many share is counted before it is sent."""
+    for batch in batches:
+        values, c = np.unique(batch.column("shingles").flatten().to_numpy(), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(c.astype(np.int64))], names=["shingle", "c"])
+
+
 def _parted(marks: np.ndarray):
     """Nodes with their shingles that the bitmap does not mark, and those that it marks, each in the set's order."""
 
@@ -383,8 +390,8 @@ def _by_rare(members: DataFrame, slim: DataFrame, sets: DataFrame, least: int) -
     as no more of them can be common than stand behind it: a place says how large a partner it can still serve. Where
     large buckets come from a common passage, the early shingles are what the texts do not share, and few pairs meet."""
     own = stored(members.join(sets, "node"), "hot_sets")
-    each = own.select("node", F.explode("shingles").alias("shingle"))
-    held = stored(each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1"), "held")
+    each = own.select("shingles").mapInArrow(_numbers, "shingle long, c long")
+    held = stored(each.groupBy("shingle").agg(F.sum("c").alias("c")).where("c > 1"), "held")
     often, marks = _frequent(held)
     # Frequent shingles come last, in the order of their hashes; only the others need their numbers.
     parted = stored(own.select("node", "shingles").mapInArrow(_parted(marks), "node long, rare array<long>, often array<long>"), "parted")
