@@ -40,6 +40,9 @@ NOTICES = [
 #: that are broadcast, beyond which the join is left to the planner.
 NEAR, COVER, MOST_GRAMS = 3, 0.6, 200_000
 
+#: The template that every row of docs has a hit of.
+OWN = -1
+
 #: The Kelvin sign lower-cases to an ASCII letter, but only A-Z may; it becomes another letter first.
 _KELVIN = "\u212a"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -50,13 +53,16 @@ def _low(text: Column) -> Column:
 
 
 def _templates(spark: SparkSession, templates: list[tuple[str, str]], phrases: int, k: int) -> tuple[DataFrame, int]:
-    """One row for each k-gram: template, its label, place, and how many it has; and the number of rows."""
-    rows = []
+    """One row for each k-gram: template, its label, place, how many it has, and the hash of its words; and the number of
+    rows. The gram of k empty words is there as well, as template OWN."""
+    rows = [(" " * (k - 1), OWN, None, False, 0, 1)]
     for n, (words, label) in enumerate(templates):
         split = words.split()
         grams = [" ".join(split[i : i + k]) for i in range(len(split) - k + 1)]
         rows += [(gram, n, label, n < phrases, place, len(grams)) for place, gram in enumerate(grams)]
-    return spark.createDataFrame(rows, "gram string, template int, label string, phrase boolean, place int, size int"), len(rows)
+    known = spark.createDataFrame(rows, "gram string, template int, label string, phrase boolean, place int, size int")
+    split = F.split("gram", " ")
+    return known.withColumn("hash", F.xxhash64(*[F.get(split, F.lit(i)) for i in range(k)])), len(rows)
 
 
 def _chain(hits: Column) -> Column:
@@ -83,16 +89,24 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     phrases, notices = PHRASES if phrases is None else phrases, NOTICES if notices is None else notices
     k = min([2, *(len(words.split()) for words, _ in phrases + notices)])
     known, size = _templates(spark, phrases + notices, len(phrases), k)
-    known = known.withColumn("hash", F.xxhash64("gram"))
     known = F.broadcast(known) if size <= MOST_GRAMS else known
-    rows = docs.select(quoted(id_col).alias("id"), F.coalesce(F.xxhash64(quoted(text_col)), F.lit(0)).alias("th"), quoted(text_col).alias("text"))
-    words = rows.select("id", "th", F.regexp_extract_all(_low(F.col("text")), F.lit(_WORD), F.lit(0)).alias("w"))
-    n = F.size("w") - 1
-    grams = F.col("w") if k == 1 else F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
-    grams = words.where(F.size("w") >= k).select("id", "th", F.posexplode(grams).alias("at", "gram")).withColumn("hash", F.xxhash64("gram"))
-    hits = grams.join(known, "hash").where(grams["gram"] == known["gram"])
+    # k empty words stand before a text's own: their gram, which the templates' table holds too, is the row's own hit, so
+    # that words are cut out once, for the votes and for the count.
+    words = docs.select(
+        quoted(id_col).alias("id"), F.coalesce(F.xxhash64(quoted(text_col)), F.lit(0)).alias("th"),
+        F.concat(F.array(*[F.lit("")] * k), F.regexp_extract_all(_low(quoted(text_col)), F.lit(_WORD), F.lit(0))).alias("w"),
+    )
+    # The outer form, as for the plain one a filter would cut the words out once more.
+    each = words.select("id", "th", "w", F.posexplode_outer("w").alias("at", "word"))
+    parts = [F.col("word"), *[F.get("w", F.col("at") + i) for i in range(1, k)]]
+    gram = F.concat(*[x for part in parts for x in (F.lit(" "), part)][1:])
+    grams = each.select("id", "th", (F.size("w") - k).cast("long").alias("n_words"), (F.col("at") - k).alias("at"), gram.alias("gram"), F.xxhash64(*parts).alias("hash"))
+    # Joined by the number alone; each begins with the other: they are equal, though not a key of the join.
+    same = grams["gram"].startswith(known["gram"]) & known["gram"].startswith(grams["gram"])
+    hits = grams.join(known, (grams["hash"] == known["hash"]) & same)
+    hits = stored(hits.select("id", "th", "n_words", "at", "template", "label", "phrase", "place", "size"), "hits")  # small, and read thrice
+    rows, hits = hits.where(F.col("template") == OWN), hits.where(F.col("template") != OWN)
     votes = hits.groupBy("id", "th", "template", "label", "phrase", "size", (F.col("at") - F.col("place")).alias("start")).agg(F.collect_set("place").alias("votes"))
-    votes = stored(votes, "votes")  # small, and read twice
     # A diagonal with all its votes has the phrase's words, which were compared, one after another.
     full = votes.where(F.col("phrase") & (F.size("votes") == F.col("size")))
     exact = full.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), "label"))).alias("places"))
@@ -107,7 +121,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first, last = F.array_min(F.transform("hits", lambda h: h["at"])), F.array_max(F.transform("hits", lambda h: h["at"])) + k
     best = merged.groupBy("id", "th", "label").agg(F.max(F.struct("cover", (-first).alias("back"), last.alias("end"))).alias("top"))
     noted = best.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("label", (-F.col("top.back")).cast("long").alias("start"), F.col("top.end").cast("long").alias("end"), F.col("top.cover").alias("cover")))).alias("notices"))
-    out = rows.select("id", "th", F.regexp_count(_low(F.col("text")), F.lit(_WORD)).cast("long").alias("n_words"))
+    out = rows.select("id", "th", "n_words")
     for part in (exact, noted):
         part = part.withColumnsRenamed({"id": "part_id", "th": "part_th"})
         out = out.join(part, out["id"].eqNullSafe(part["part_id"]) & (out["th"] == part["part_th"]), "left").drop("part_id", "part_th")
