@@ -17,6 +17,8 @@ REMEMBERED, LONGEST = 700_000, 48
 
 #: A space between white space: where the pieces depend on the whole run.
 _RUN = re.compile(r" (?<=\s )\s")
+#: Stretches that are encoded as one text.
+JOINED = 100
 _BARE = re.compile(r"[ \n]+")
 
 
@@ -37,6 +39,9 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.spaces, self.remembered = spaces, remembered
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.leads = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose piece begins with a space
+        self.leads[[i for piece, i in vocabulary.items() if piece[:1] == "\u0120"]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -59,6 +64,8 @@ class Encoder:
     def _learn(self, new: list[str]) -> dict[str, bytes]:
         """The ids of stretches from the library; those of a usual length are remembered."""
         found: dict[str, bytes] = {}
+        if self.spaces:
+            found, new = self._learn_joined(new)
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             for x, e in zip(some, self.library.encode_batch_fast(list(map(self._spoken, some)), add_special_tokens=False), strict=True):
@@ -66,6 +73,22 @@ class Encoder:
         self._remember(found)
         return found
 
+    def _learn_joined(self, new: list[str]) -> tuple[dict[str, bytes], list[str]]:
+        """The ids of stretches that follow a space and hold no white space, many to a text: a piece that begins with a
+        space begins a stretch. And the stretches left over."""
+        found: dict[str, bytes] = {}
+        plain = [x for x in new if x[:1] != " " and x.split() == [x]]
+        groups = [plain[at : at + JOINED] for at in range(0, len(plain), JOINED)]
+        for at in range(0, len(groups), 200):
+            some = groups[at : at + 200]
+            for group, e in zip(some, self.library.encode_batch_fast([" " + " ".join(g) for g in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                starts = np.flatnonzero(self.leads[ids])
+                if len(starts) == len(group) and starts[0] == 0:
+                    held, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                    found.update((x, held[a:b]) for x, a, b in zip(group, cuts, cuts[1:], strict=False))
+        return found, [x for x in new if x not in found]
+
     def _remember(self, found: dict[str, bytes]) -> None:
         if len(self.known) > self.remembered:
             self.older, self.known = self.known, {}
