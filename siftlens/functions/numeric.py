@@ -9,10 +9,11 @@ def _whole(x: Column) -> Column:
 
 
 def file_size(size: Column) -> Column:
-    """Bytes, or kB and MB by 1024: one digit after the point below ten of a unit."""
+    """Bytes, or kB and MB by 1024: one digit after the point below ten of a unit. Halves are rounded
+    away from zero before the number is written, as format_number takes the even digit."""
 
     def unit(by: float, name: str, digits: int) -> Column:
-        return F.concat(F.format_number(size / by, digits), F.lit(name)) if digits else F.concat(_whole(F.round(size / by)), F.lit(name))
+        return F.concat(F.format_number(F.round(size / by, digits), digits), F.lit(name)) if digits else F.concat(_whole(F.round(size / by)), F.lit(name))
 
     return (
         F.when(size < 2048, F.concat(_whole(size), F.lit(" bytes")))
