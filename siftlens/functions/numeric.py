@@ -8,20 +8,17 @@ def _whole(x: Column) -> Column:
     return x.cast("long").cast("string")
 
 
-def file_size(size: Column) -> Column:
-    """Bytes, or kB and MB by 1024: one digit after the point below ten of a unit. Halves are rounded
-    away from zero before the number is written, as format_number takes the even digit."""
+def file_size(size: Column, largest: str = "MB") -> Column:
+    """Bytes, or kB and MB by 1024: one digit after the point below ten of a unit. With "kB" as the largest unit, there
+    are no MB. Halves are rounded away from zero before the number is written, as format_number takes the even digit."""
 
     def unit(by: float, name: str, digits: int) -> Column:
         return F.concat(F.format_number(F.round(size / by, digits), digits), F.lit(name)) if digits else F.concat(_whole(F.round(size / by)), F.lit(name))
 
-    return (
-        F.when(size < 2048, F.concat(_whole(size), F.lit(" bytes")))
-        .when(size < 10240, unit(1024, " kB", 1))
-        .when(size < 2097152, unit(1024, " kB", 0))
-        .when(size < 10485760, unit(1048576, " MB", 1))
-        .otherwise(unit(1048576, " MB", 0))
-    )
+    small = F.when(size < 2048, F.concat(_whole(size), F.lit(" bytes"))).when(size < 10240, unit(1024, " kB", 1))
+    if largest == "kB":
+        return small.otherwise(unit(1024, " kB", 0))
+    return small.when(size < 2097152, unit(1024, " kB", 0)).when(size < 10485760, unit(1048576, " MB", 1)).otherwise(unit(1048576, " MB", 0))
 
 
 def duration(seconds: Column) -> Column:
