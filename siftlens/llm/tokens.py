@@ -4,6 +4,10 @@ Both vocabularies split a text before they merge, and never merge across a space
 ids are the ids of its stretches between such spaces; each new stretch goes to the library, one met before to a
 dictionary. Texts where a space stands between white space go to the library whole, as do texts that hold a special
 token's string, which the library gives that token's id.
+
+Both vocabularies' expressions also part Latin letters from punctuation without apostrophes, and either from a line's
+end. So a new stretch of nothing else is the sum of such pieces, most of which are known; and pieces of letters, which the
+expressions take whole, go to the library many to a text, parted at spaces only.
 """
 
 import re
@@ -17,8 +21,10 @@ REMEMBERED, LONGEST = 700_000, 48
 
 #: A space between white space: where the pieces depend on the whole run.
 _RUN = re.compile(r" (?<=\s )\s")
-#: Stretches that are encoded as one text.
+#: Pieces that are encoded as one text.
 JOINED = 100
+#: Punctuation, but the bar of special tokens; the last of the letters of Latin, and one that is two in lower case.
+_MARKS, _LATIN, _TWO = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{}~", "\u024f", "\u0130"
 _BARE = re.compile(r"[ \n]+")
 
 
@@ -29,6 +35,11 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _is_word(x: str) -> bool:
+    """Latin letters alone, which both vocabularies' expressions take whole."""
+    return x.isalpha() and (x.isascii() or (max(x) <= _LATIN and _TWO not in x))
+
+
 class Encoder:
     """Ids of texts. spaces: whether a stretch keeps the space before it (byte-level vocabularies) or white space is
     dropped by the vocabulary."""
@@ -39,9 +50,12 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.spaces, self.remembered = spaces, remembered
+        self.cuts = all("|" in x for x in self.special)
+        self.parted = self._parting(path)
         vocabulary = self.library.get_vocab(with_added_tokens=True)
-        self.leads = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose piece begins with a space
-        self.leads[[i for piece, i in vocabulary.items() if piece[:1] == "\u0120"]] = True
+        self.edges = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin a piece after a space, or end a piece
+        self.edges[[i for piece, i in vocabulary.items() if (piece[:1] == "\u0120" if spaces else piece[-4:] == "</w>")]] = True
+        self.line = vocabulary.get("\u010a", -1)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -61,33 +75,66 @@ class Encoder:
     def _spoken(self, stretch: str) -> str:
         return stretch if not self.spaces else stretch[1:] if stretch[:1] == " " else " " + stretch
 
+    def _parting(self, path: str):
+        """The library's tokenizer with the same vocabulary, which takes what stands between spaces whole."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        out = Tokenizer.from_file(path)
+        by_space = pre_tokenizers.Split(" ", "merged_with_next") if self.spaces else pre_tokenizers.WhitespaceSplit()
+        out.pre_tokenizer = pre_tokenizers.Sequence([by_space, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        if not self.spaces:
+            out.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        return out
+
+    def _cut(self, stretch: str) -> tuple[str, ...] | None:
+        """A stretch's pieces, as stretches: words with punctuation after them, of lines of one each."""
+        out: list[str] = []
+        for k, line in enumerate(stretch.split("\n")):
+            word = line.rstrip(_MARKS)
+            if not _is_word(word if k or word[:1] != " " else word[1:]):
+                return None
+            out += [word] if not k else [" \n", " " + word]
+            if len(word) < len(line):
+                out.append(" " + line[len(word) :] if self.spaces else line[len(word) :])
+        return tuple(out)
+
     def _learn(self, new: list[str]) -> dict[str, bytes]:
         """The ids of stretches from the library; those of a usual length are remembered."""
-        found: dict[str, bytes] = {}
+        cut: dict[str, tuple[str, ...]] = {}
+        if self.cuts:
+            cut = {x: pieces for x in new if (not self.spaces or "\n" in x) and not x.isalpha() and (pieces := self._cut(x)) and len(pieces) > 1}
+        pieces = {x for some in cut.values() for x in some}
+        found = {x: ids for x in pieces if (ids := self.known.get(x) or self.older.get(x))}
+        absent = [*(x for x in new if x not in cut), *(pieces - found.keys()).difference(new)]
+        found |= self._learn_joined([x for x in absent if _is_word(x)], self.parted, " ")
         if self.spaces:
-            found, new = self._learn_joined(new)
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
+            found |= self._learn_joined([x for x in absent if x[:1] == " " and _is_word(x[1:])], self.library, "\n")
+            found |= self._learn_joined([x for x in absent if x not in found and x[:1] != " " and x.split() == [x]], self.library, " ")
+        absent = [x for x in absent if x not in found]
+        for at in range(0, len(absent), 20_000):
+            some = absent[at : at + 20_000]
             for x, e in zip(some, self.library.encode_batch_fast(list(map(self._spoken, some)), add_special_tokens=False), strict=True):
                 found[x] = array("I", e.ids).tobytes()
+        found.update((x, b"".join([found[y] for y in some])) for x, some in cut.items())
         self._remember(found)
         return found
 
-    def _learn_joined(self, new: list[str]) -> tuple[dict[str, bytes], list[str]]:
-        """The ids of stretches that follow a space and hold no white space, many to a text: a piece that begins with a
-        space begins a stretch. And the stretches left over."""
+    def _learn_joined(self, some: list[str], library, by: str) -> dict[str, bytes]:
+        """The ids of stretches, many to a text: a piece that begins with a space begins one, or one that ends a word ends
+        it, or ends of lines, which are dropped, part them. Those of a text with another number of such pieces are left out."""
         found: dict[str, bytes] = {}
-        plain = [x for x in new if x[:1] != " " and x.split() == [x]]
-        groups = [plain[at : at + JOINED] for at in range(0, len(plain), JOINED)]
+        groups = [some[at : at + JOINED] for at in range(0, len(some), JOINED)]
         for at in range(0, len(groups), 200):
-            some = groups[at : at + 200]
-            for group, e in zip(some, self.library.encode_batch_fast([" " + " ".join(g) for g in some], add_special_tokens=False), strict=True):
+            held = groups[at : at + 200]
+            texts = ["\n" + "\n".join([x[1:] for x in g]) if by == "\n" else (" " if self.spaces else "") + " ".join(g) for g in held]
+            for group, e in zip(held, library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, "<u4")
-                starts = np.flatnonzero(self.leads[ids])
-                if len(starts) == len(group) and starts[0] == 0:
-                    held, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-                    found.update((x, held[a:b]) for x, a, b in zip(group, cuts, cuts[1:], strict=False))
-        return found, [x for x in new if x not in found]
+                edges = np.flatnonzero(ids == self.line if by == "\n" else self.edges[ids])
+                if len(edges) == len(group):
+                    starts, ends = (edges.tolist(), [*edges[1:].tolist(), len(ids)]) if self.spaces else ([0, *(edges[:-1] + 1).tolist()], (edges + 1).tolist())
+                    raw = ids.tobytes()
+                    found.update((x, raw[4 * (a + (by == "\n")) : 4 * b]) for x, a, b in zip(group, starts, ends, strict=True))
+        return found
 
     def _remember(self, found: dict[str, bytes]) -> None:
         if len(self.known) > self.remembered:

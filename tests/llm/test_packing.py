@@ -66,3 +66,25 @@ def test_stretches_give_the_librarys_ids(name, spaces):
     for _ in range(4000):
         text = "".join(rng.choice(some) for _ in range(rng.randint(0, 14)))
         assert own.encode([text])[0].tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name, spaces", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_pieces_of_new_stretches_give_the_librarys_ids(name, spaces):
+    """Words, punctuation and ends of lines in one stretch, many to a text; a word of the word vocabulary is not sent alone."""
+    rng, lib, own = random.Random(2), library(name), Encoder(vocabulary_path(name), spaces)
+    some = ["the", "Xqz", "éen", "ÀÇ", "İ", "ŉ", "ǅ", "ªº", "µ", "ß", "ſ", "ƻ", ",", ".", "!!", "'", "'s", "|", "_", "\n", "\n", "²", "7", "-", "́", "日"]
+    texts = [" ".join("".join(rng.choice(some) for _ in range(rng.randint(1, 5))) for _ in range(40)) for _ in range(400)]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids
+
+    class Counted:
+        sent = 0
+
+        def encode_batch_fast(self, inputs, **kw):
+            self.sent += len(inputs)
+            return own.parted.encode_batch_fast(inputs, **kw)
+
+    fresh = Encoder(vocabulary_path(name), spaces)
+    fresh.library, fresh.parted = Counted(), Counted()
+    fresh.encode([" ".join("x" + "".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(1000))])
+    assert fresh.library.sent + fresh.parted.sent < 30
