@@ -8,6 +8,8 @@ token's string, which the library gives that token's id.
 Both vocabularies' expressions also part Latin letters from punctuation without apostrophes, and either from a line's
 end. So a new stretch of nothing else is the sum of such pieces, most of which are known; and pieces of letters, which the
 expressions take whole, go to the library many to a text, parted at spaces only.
+
+Where the vocabulary drops white space, whole arrays of texts are cut as bytes and each different stretch is looked up once.
 """
 
 import re
@@ -15,6 +17,8 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Stretches in each of a worker's two generations of memory, and the longest remembered, in characters.
 REMEMBERED, LONGEST = 700_000, 48
@@ -26,6 +30,8 @@ JOINED = 100
 #: Punctuation, but the bar of special tokens; the last of the letters of Latin, and one that is two in lower case.
 _MARKS, _LATIN, _TWO = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{}~", "\u024f", "\u0130"
 _BARE = re.compile(r"[ \n]+")
+#: By byte: ASCII letters and digits.
+_ALNUM = np.array([bytes([x]).isalnum() for x in range(256)])
 
 
 def vocabulary_path(name: str) -> str:
@@ -40,6 +46,14 @@ def _is_word(x: str) -> bool:
     return x.isalpha() and (x.isascii() or (max(x) <= _LATIN and _TWO not in x))
 
 
+def _split(words: pa.Array) -> list[str]:
+    """Texts that hold one space each, at their end."""
+    if not len(words):
+        return []
+    at = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset)
+    return words.buffers()[2][int(at[0]) : int(at[-1])].to_pybytes().decode().split(" ")[:-1]
+
+
 class Encoder:
     """Ids of texts. spaces: whether a stretch keeps the space before it (byte-level vocabularies) or white space is
     dropped by the vocabulary."""
@@ -139,7 +153,16 @@ class Encoder:
     def _remember(self, found: dict[str, bytes]) -> None:
         if len(self.known) > self.remembered:
             self.older, self.known = self.known, {}
-        self.known.update((x, ids) for x, ids in found.items() if len(x) <= LONGEST)
+        if found and max(map(len, found)) > LONGEST:
+            found = {x: ids for x, ids in found.items() if len(x) <= LONGEST}
+        self.known.update(found)
+
+    def _met(self, absent: list[str]) -> dict[str, bytes]:
+        """The ids of stretches that are not in the younger memory."""
+        here = {x: ids for x in absent if (ids := self.older.get(x)) is not None}
+        self._remember(here)
+        here |= self._learn([x for x in absent if x not in here])
+        return here
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers; null counts as empty."""
@@ -147,14 +170,65 @@ class Encoder:
         looked = [list(map(self.known.get, p)) for p in parts]
         absent = {x for p, found in zip(parts, looked, strict=True) if None in found for x, ids in zip(p, found, strict=True) if ids is None}
         if absent:
-            here = {x: ids for x in absent if (ids := self.older.get(x)) is not None}
-            self._remember(here)
-            here |= self._learn([x for x in absent if x not in here])
+            here = self._met(list(absent))
             for p, found in zip(parts, looked, strict=True):
                 if None in found:
                     found[:] = [here[x] if ids is None else ids for x, ids in zip(p, found, strict=True)]
         return [np.frombuffer(b"".join(found), "<u4") for found in looked]
 
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and the number of each text's; null counts as empty. For vocabularies that drop
+        white space: each different stretch of an array is looked up once. Texts that hold a special token's string, in
+        either case, are encoded apart."""
+        assert not self.spaces
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        whole = np.zeros(len(texts), bool)
+        for x in self.special:
+            whole |= pc.match_substring(texts, x, ignore_case=True).to_numpy(zero_copy_only=False)
+        apart = self.encode(texts.filter(pa.array(whole)).to_pylist())
+        if apart:
+            texts = pc.if_else(pa.array(whole), "", texts)
+        flat, rows = self._parted_bytes(texts)
+        cuts = np.flatnonzero(flat == 32) + 1
+        words = pa.StringArray.from_buffers(len(cuts), pa.py_buffer(np.concatenate([[0], cuts]).astype(np.int32)), pa.py_buffer(flat)).dictionary_encode()
+        names = _split(words.dictionary)
+        found = list(map(self.known.get, names))
+        if absent := [x for x, ids in zip(names, found, strict=True) if ids is None]:
+            here = self._met(absent)
+            found = [here[x] if ids is None else ids for x, ids in zip(names, found, strict=True)]
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) >> 2
+        begins, which = np.cumsum(sizes, dtype=np.int32) - sizes, words.indices.to_numpy()
+        own = sizes[which]
+        ends = np.cumsum(own, dtype=np.int32)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = np.frombuffer(b"".join(found), "<u4")[np.arange(total, dtype=np.int32) + np.repeat(begins[which] - (ends - own), own)]
+        counts = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.searchsorted(cuts, rows, side="right")])])
+        if apart:
+            each = np.split(ids, np.cumsum(counts)[:-1])
+            for k, x in zip(np.flatnonzero(whole).tolist(), apart, strict=True):
+                each[k], counts[k] = x, len(x)
+            ids = np.concatenate(each)
+        return ids, counts
+
+    @staticmethod
+    def _parted_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of texts, each stretch with a space after it, and where each text ends.
+
+        A full stop or comma between an ASCII letter or digit and white space is a piece of its own, and so becomes a
+        stretch. A-Z is lowered as the vocabulary lowers it, but before a character beyond ASCII, which might be composed
+        with the letter first."""
+        at = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        at = at[1:] - at[0]
+        after = np.append(data[1:], np.uint8(32))
+        data = data + (((data - np.uint8(65)) < 26) & (after < 128)).view(np.uint8) * np.uint8(32)
+        marks = np.flatnonzero((data == 46) | (data == 44))
+        marks = marks[marks > 0]
+        marks = marks[_ALNUM[data[marks - 1]] & ((after[marks] == 32) | (after[marks] == 10))]
+        flat = np.insert(data, np.concatenate([marks, at]), np.uint8(32))
+        flat[flat == 10] = 32
+        return flat, at + np.searchsorted(marks, at) + np.arange(1, len(at) + 1)
+
 
 _encoders: dict[tuple[str, bool, int], Encoder] = {}
 

@@ -101,3 +101,49 @@ def test_a_query_does_not_code_in_python(spark, shared, data, monkeypatch):
     damaged[-5] ^= 1
     with pytest.raises(Exception, match="damaged"):
         spark.createDataFrame([(damaged, [1 << 20])], "data binary, sizes array<int>").select(d._coded(spark, "Reading", d.T.ArrayType(d.T.LongType()), "data", "sizes")).collect()
+
+
+def test_arrays_of_texts_are_encoded_as_the_library_does():
+    """Slices, nulls, letters that are composed with what follows, marks at stretches' ends, special tokens in either case."""
+    import pyarrow as pa
+
+    from siftlens.llm.tokens import Encoder
+
+    odd = ["the", "The", "END.", "cat,", "a.'s", "it's.", "3,", 'x".', ",", ".", "H̱", "J̌", "Å.", "İa,", "İ", "́", "é.", "ΣΑΣ.", "中.", " ", "\t", "\r", "\n", " ", "", "<|endoftext|>", "<|EndOfText|>", "K,", "don't,", "|", "#", "\U0001f600."]
+    rng = np.random.default_rng(5)
+    texts = [None, "", "a", "b.", " ", "\n", ", x", *("".join(w + s for w, s in zip(rng.choice(odd, k), rng.choice([" ", "\n", "", "  "], k), strict=True)) for k in rng.integers(1, 30, 3000))]
+    lib, tokens = library(d.VOCABULARY), Encoder(vocabulary_path(d.VOCABULARY), False, 2000)
+    for a, b in ((0, 0), (0, 2), (1, 900), (900, 907), (907, len(texts))):
+        ids, counts = tokens.encode_array(pa.array(texts, pa.string()).slice(a, b - a))
+        stated = [lib.encode(t or "", add_special_tokens=False).ids for t in texts[a:b]]
+        assert counts.tolist() == list(map(len, stated)) and ids.tolist() == [x for some in stated for x in some]
+
+
+def test_a_stretch_is_looked_up_once_an_array():
+    """Not once for each place: that took most of Python's time."""
+    import pyarrow as pa
+
+    from siftlens.llm.tokens import Encoder
+
+    class Counted(dict):
+        gets = 0
+
+        def get(self, *key):
+            Counted.gets += 1
+            return super().get(*key)
+
+    tokens = Encoder(vocabulary_path(d.VOCABULARY), False)
+    tokens.known = Counted()
+    ids, counts = tokens.encode_array(pa.array(["The cat, the dog.\nthe cat"] * 1000, pa.string()))
+    assert len(ids) == 8000 and set(counts.tolist()) == {8} and Counted.gets < 20
+
+
+@pytest.mark.parametrize("n", [1, 4096, 4097, 8192, 12289, 20480])
+def test_the_jvm_codes_blocks_in_step(spark, n):
+    """Two at a time, of unlike lengths: the same bytes as in Python, and read again."""
+    rng = np.random.default_rng(n)
+    ids = np.where(np.arange(n) // 4096 % 2 == 0, rng.zipf(3.0, n) % 50, rng.integers(0, 3000, n)).astype("<u4")
+    coder, data = d._coder(spark), d.compress(ids)
+    assert bytes(coder["Writing"].call(bytearray(ids.tobytes()), bytearray(d._stated(ids)[1]))) == data
+    found = spark.createDataFrame([(bytearray(data), [n])], "data binary, sizes array<int>").select(d._coded(spark, "Reading", d.T.ArrayType(d.T.LongType()), "data", "sizes")).first()[0]
+    assert found == [zlib.crc32(ids.tobytes())]
